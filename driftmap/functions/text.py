@@ -23,7 +23,7 @@ ought that's there's what's when's where's who's why's would
 # Fixed patterns, applied in this order.
 HTML_ENDING = r"\.html?$"
 LAST_DOT = r"\.[^.]*$"
-FILE_ENDING = r"^((?:https?://)?[^/?#]+/[^?#]*)\.[^./?#]+(?=$|[?#])"
+FILE_ENDING = r"^((?:https?://)?+[^/?#]+/[^?#]*)\.[^./?#]+(?=$|[?#])"
 PROTOCOL = r"https?://|www\."
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftmap.operators.scale import lookup, running_total
+from driftmap.operators.scale import cut_counting, lookup, running_total
 
 
 def _upper_tail(t: float, dof: float) -> float:
@@ -116,14 +116,21 @@ def _spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Ranks are taken among the rows complete in a pair of columns, by a distributed running total per pair and side.
     """
     present = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-    indexed = [(i, j) for i, j in combinations(range(len(cols)), 2)] + [(i, i) for i in range(len(cols))]
     parts = [
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"), present(cols[i]).alias("va"), present(cols[j]).alias("vb")
-        )
-        for i, j in indexed
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), present(cols[i]).alias("va"), present(cols[j]).alias("vb"))
+        for i, j in combinations(range(len(cols)), 2)
     ]
-    pairs = (
+    alone = df.agg(
+        F.array(
+            *[
+                F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.lit(1.0).alias("r"), F.count(present(c)).alias("n"))
+                for i, c in enumerate(cols)
+            ]
+        ).alias("_rows")
+    ).select(F.inline("_rows"))
+    if not parts:
+        return alone
+    pairs, seen = cut_counting(
         df.select(F.inline(F.array(*parts)))
         .filter(F.col("va").isNotNull() & F.col("vb").isNotNull())
         .groupBy("i", "j", "va", "vb")
@@ -143,8 +150,8 @@ def _spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     side = lambda s, value, rank: ranked.filter(F.col("side") == s).select(
         "i", "j", F.col("value").alias(value), F.col("rank").alias(rank)
     )
-    both = lookup(pairs, side("a", "va", "ra"), ["i", "j", "va"], "inner")
-    both = lookup(both, side("b", "vb", "rb"), ["i", "j", "vb"], "inner")
+    both = lookup(pairs, side("a", "va", "ra"), ["i", "j", "va"], "inner", at_most=seen["rows"])
+    both = lookup(both, side("b", "vb", "rb"), ["i", "j", "vb"], "inner", at_most=seen["rows"])
     size = pairs.groupBy("i", "j").agg(F.sum("n").alias("size"))
     # One row per pair of columns; the mean rank is known, so sums are taken around it.
     a, b, n = F.col("ra") - (F.col("size") + 1) / 2, F.col("rb") - (F.col("size") + 1) / 2, F.col("n")
@@ -157,4 +164,5 @@ def _spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         )
     )
     spread = F.nullif(F.sqrt(F.col("aa")) * F.sqrt(F.col("bb")), F.lit(0.0))
-    return sums.select("i", "j", F.least(F.greatest(F.col("ab") / spread, F.lit(-1.0)), F.lit(1.0)).alias("r"), "n")
+    r = F.least(F.greatest(F.col("ab") / spread, F.lit(-1.0)), F.lit(1.0)).alias("r")
+    return sums.select("i", "j", r, "n").unionByName(alone)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftmap.functions.vectors import parse_vector
-from driftmap.operators.scale import running_total
+from driftmap.operators.scale import cut, running_total
 
 
 def _is_float(df: DataFrame, col: str) -> bool:
@@ -55,8 +55,10 @@ def vector_coverage(df: DataFrame, col: str = "semanticVector") -> DataFrame:
 
 def corrupt_profile(df: DataFrame) -> DataFrame:
     """Rows per malformed text; NULL stands for well-formed rows."""
-    # Counting the address too keeps the scan from reading the corrupt column alone, which Spark refuses.
-    return df.groupBy("_corrupt_record").agg(F.count("*").alias("count"), F.count("url").alias("with_url"))
+    # Looking at the address as well keeps the scan from reading the corrupt column alone, which Spark refuses.
+    malformed = F.col("_corrupt_record").isNotNull() | F.col("url").isNull()
+    text = F.when(malformed, F.col("_corrupt_record")).alias("_corrupt_record")
+    return df.groupBy(text).agg(F.count("*").alias("count"))
 
 
 def vector_lengths(df: DataFrame, col: str = "semanticVector") -> DataFrame:
@@ -124,14 +126,14 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     cells = F.inline(
         F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
     )
-    counts = (
+    counts = cut(
         df.select(cells)
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("column", "value")
         .agg(F.count("*").alias("n"))
     )
     ranked = running_total(counts, ["value"], "n", "first", groups=["column"])
-    total = ranked.groupBy("column").agg(F.sum("n").alias("total"))
+    total = counts.groupBy("column").agg(F.sum("n").alias("total"))
     wanted = total.select(
         "column", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"), "total"
     ).withColumn("place", F.col("prob") * (F.col("total") - 1))

@@ -22,15 +22,19 @@ HOT_GROUPS = 2_000
 #: A key with fewer rows than this is never hot; one task sorts or aggregates that many rows with ease.
 HOT_ROWS = 1_000_000
 
+_own_roots: dict[str, str] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables, as named by the cluster's ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        # Only a session without the setting, as in tests, gets a folder of its own.
-        root = tempfile.mkdtemp(prefix="driftmap-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    # Only a session without the setting, as in tests, gets a folder of its own.
+    application = spark.sparkContext.applicationId
+    if application not in _own_roots:
+        _own_roots[application] = tempfile.mkdtemp(prefix="driftmap-")
+    return _own_roots[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
