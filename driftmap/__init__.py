@@ -71,6 +71,7 @@ from driftmap.operators.relational import (
     top_k,
     top_n_per_group,
 )
+from driftmap.operators.scale import clear_scratch
 from driftmap.operators.silhouette import silhouette_exact
 from driftmap.plans.drift import MEASURES, semantic_drift
 from driftmap.session import get_spark

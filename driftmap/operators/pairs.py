@@ -18,19 +18,21 @@ def consecutive_pairs(
     tie: Sequence[str] = (),
     require: str | None = None,
     hot_rows: int | None = None,
+    hot: Sequence[int] | None = None,
     prefix: str = "previous_",
 ) -> DataFrame:
     """Add ``previous_<col>`` from the row before in ``order`` (then ``tie``) within ``key``.
 
     Rows whose ``previous_<require>`` is NULL are left out (the first of each key, and successors of a row without that
     value); ``require`` defaults to the first of ``cols``. Keys with too many rows for one task are cut into ordered
-    slices, each handed the last row of the slice before it.
+    slices, each handed the last row of the slice before it. ``hot`` names such keys by hash if they are known.
     """
     keys = [key] if isinstance(key, str) else list(key)
     ordering = ([order] if isinstance(order, str) else list(order)) + list(tie)
     required = prefix + (require or cols[0])
 
-    hot = hot_hashes(df, keys, hot_rows)
+    if hot is None:
+        hot = hot_hashes(df, keys, hot_rows)
     if hot:
         hot_df, cold_df = split_hot(df, keys, hot)
         paired = _lag_in_key(cold_df, keys, ordering, cols, prefix).unionByName(

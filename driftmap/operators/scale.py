@@ -23,6 +23,7 @@ HOT_GROUPS = 2_000
 HOT_ROWS = 1_000_000
 
 _own_roots: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,7 +40,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application wrote; results that still read them must be stored before."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(settings).delete(target, True)
+    return len(paths)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from driftmap.operators.encoder import autoencode, autoencoder_fit, reconstruct,
 from driftmap.operators.keywords import cluster_keywords, explode_tokens, token_counts
 from driftmap.operators.pairs import consecutive_pairs
 from driftmap.operators.reduce import explained_variance, optimal_k, pca_model, pca_project, project_2d, standardize
-from driftmap.operators.scale import scratch_path
+from driftmap.operators.scale import cut, scratch_path
 from driftmap.operators.silhouette import silhouette_exact
 from driftmap.plans.derived import (
     CRAWL_SQL,
@@ -68,10 +68,16 @@ def rounded(c: str, digits: int = 6) -> Column:
 
 
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snapshots = crawl(spark, sf_dir)
+    """Drift from a crawl landed as a table, as the list of relevant pages reads it too."""
+    snapshots = cut(crawl(spark, sf_dir))
     return semantic_drift(snapshots, relevant(snapshots))
 
 
+def stored_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift table, written once for analyses that pass over it more than once."""
+    return cut(drift(spark, sf_dir))
+
+
 # --- sources and sinks ------------------------------------------------------------------------------------------------
 
 
@@ -525,7 +531,7 @@ def _(spark, sf_dir):
 
 @query("drift_summary", f"WITH {DRIFT_SQL} " + _each(_STATS_SQL + "drift", DIFFERENCES))
 def _(spark, sf_dir):
-    return _stats(drift(spark, sf_dir), DIFFERENCES)
+    return _stats(stored_drift(spark, sf_dir), DIFFERENCES)
 
 
 def _histogram_sql(source: str, col: str, n: int) -> str:
@@ -543,12 +549,12 @@ def _bins(df: DataFrame) -> DataFrame:
 
 @query("histogram", f"WITH {DRIFT_SQL}, {_histogram_sql('drift', 'content_length_difference', 20)}")
 def _(spark, sf_dir):
-    return _bins(profile.histogram(drift(spark, sf_dir), "content_length_difference"))
+    return _bins(profile.histogram(stored_drift(spark, sf_dir), "content_length_difference"))
 
 
 @query("distance_histogram", f"WITH {DRIFT_SQL}, {_histogram_sql('drift', 'euclidean_distance', 20)}")
 def _(spark, sf_dir):
-    return _bins(profile.histogram(drift(spark, sf_dir), "euclidean_distance"))
+    return _bins(profile.histogram(stored_drift(spark, sf_dir), "euclidean_distance"))
 
 
 @query("price_histogram", f"WITH {_histogram_sql('lineitem', 'l_extendedprice', 50)}")

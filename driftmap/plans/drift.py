@@ -15,6 +15,7 @@ from driftmap.functions.vectors import (
 )
 from driftmap.operators.pairs import consecutive_pairs
 from driftmap.operators.relational import keep_relevant
+from driftmap.operators.scale import hot_hashes
 
 MEASURES = (
     "euclidean_distance",
@@ -38,7 +39,10 @@ def semantic_drift(
     if isinstance(crawl.schema["semanticVector"].dataType, T.StringType):
         vector = parse_vector(vector)
     # Parsed vectors and counts are a fraction of the text and the lists, and only they are shuffled.
-    snapshots = crawl.filter(F.col("url").isNotNull()).select(
+    known = crawl.filter(F.col("url").isNotNull())
+    # Counted before the join: this reads one column of the crawl.
+    hot = hot_hashes(known, ["url"], hot_rows)
+    snapshots = known.select(
         "url",
         "fetchDate",
         vector.alias("vector"),
@@ -54,7 +58,7 @@ def semantic_drift(
         order="fetchDate",
         cols=["vector", "contentLength", "internal", "external"],
         tie=["contentLength", "internal", "external", "vector"],
-        hot_rows=hot_rows,
+        hot=hot,
     )
     return pairs.select(
         "url",

@@ -1,5 +1,7 @@
 """Hot keys take other plans; results stay the same."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,10 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert scale.scratch_path(Session(), "cut").startswith("hdfs://cluster/shared/cut-")
     path = scale.scratch_path(spark, "cut")
     assert path.startswith(scale.scratch_root(spark)) and path != scale.scratch_path(spark, "cut")
+
+
+def test_scratch_tables_can_be_cleared(spark, monkeypatch):
+    monkeypatch.setattr(scale, "_written", {})
+    table = scale.cut(spark.range(5))
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and scale.clear_scratch(spark) == 1 and not os.path.exists(path)
