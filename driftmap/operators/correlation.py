@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftmap.operators.scale import cut_counting, lookup, running_total
+from driftmap.operators.scale import cut_counting, hot_hashes, lookup, running_total
 
 
 def _upper_tail(t: float, dof: float) -> float:
@@ -150,8 +150,10 @@ def _spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     side = lambda s, value, rank: ranked.filter(F.col("side") == s).select(
         "i", "j", F.col("value").alias(value), F.col("rank").alias(rank)
     )
-    both = lookup(pairs, side("a", "va", "ra"), ["i", "j", "va"], "inner", at_most=seen["rows"])
-    both = lookup(both, side("b", "vb", "rb"), ["i", "j", "vb"], "inner", at_most=seen["rows"])
+    by_a, by_b = ["i", "j", "va"], ["i", "j", "vb"]
+    hot_a, hot_b = (hot_hashes(pairs, by, at_most=seen["rows"]) for by in (by_a, by_b))
+    both = lookup(pairs, side("a", "va", "ra"), by_a, "inner", hot=hot_a)
+    both = lookup(both, side("b", "vb", "rb"), by_b, "inner", hot=hot_b)
     size = pairs.groupBy("i", "j").agg(F.sum("n").alias("size"))
     # One row per pair of columns; the mean rank is known, so sums are taken around it.
     a, b, n = F.col("ra") - (F.col("size") + 1) / 2, F.col("rb") - (F.col("size") + 1) / 2, F.col("n")

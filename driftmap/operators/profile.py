@@ -132,13 +132,19 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
         .groupBy("column", "value")
         .agg(F.count("*").alias("n"))
     )
-    ranked = running_total(counts, ["value"], "n", "first", groups=["column"])
     total = counts.groupBy("column").agg(F.sum("n").alias("total"))
     wanted = total.select(
         "column", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"), "total"
     ).withColumn("place", F.col("prob") * (F.col("total") - 1))
-    # wanted has len(cols) * len(probs) rows; each value answers for the places within its run of equal copies.
     floor, ceil = F.floor("place"), F.ceil("place")
+
+    def holding(slices: DataFrame) -> DataFrame:
+        """Only the slices with one of the wanted places are ranked."""
+        reach = (F.col("_carried") <= ceil) & (floor < F.col("_carried") + F.col("_total"))
+        return slices.join(F.broadcast(wanted), "column").filter(reach).select(slices.columns).distinct()
+
+    ranked = running_total(counts, ["value"], "n", "first", groups=["column"], keep=holding)
+    # wanted has len(cols) * len(probs) rows; each value answers for the places within its run of equal copies.
     holds = lambda place: (F.col("first") <= place) & (place < F.col("first") + F.col("n"))
     found = ranked.join(F.broadcast(wanted), "column").filter(holds(floor) | holds(ceil))
     low = F.max(F.when(holds(floor), F.col("value")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,13 +81,11 @@ def hot_hashes(
 ) -> list[int]:
     """Hashes of the keys that hold more than ``max(hot_rows, total / HOT_GROUPS)`` rows; at most ``HOT_GROUPS``.
 
-    ``at_most`` is a known upper bound of the number of rows, which may save counting them.
+    ``at_most`` is a known upper bound of the number of rows, which saves counting them.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    if at_most is not None and at_most <= hot_rows:
-        return []
     hashed = df.select(key_hash(keys).alias("_key"))
-    total = hashed.count()
+    total = hashed.count() if at_most is None else at_most
     if total <= hot_rows:
         return []
     counts = hashed.groupBy("_key").count()
@@ -108,10 +106,15 @@ def lookup(
     how: str = "left",
     hot_rows: int | None = None,
     at_most: int | None = None,
+    hot: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Join ``table``, unique in ``keys``, onto ``df`` without gathering a hot key's rows in one task."""
+    """Join ``table``, unique in ``keys``, onto ``df`` without gathering a hot key's rows in one task.
+
+    ``hot`` names the hot keys by hash if they are known.
+    """
     keys = list(keys)
-    hot = hot_hashes(df, keys, hot_rows, at_most)
+    if hot is None:
+        hot = hot_hashes(df, keys, hot_rows, at_most)
     if not hot:
         return df.join(table, keys, how)
     hot_df, cold_df = split_hot(df, keys, hot)
@@ -127,29 +130,34 @@ def _sliced(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def running_total(
-    df: DataFrame, order: Sequence[str], measure: str, name: str, groups: Sequence[str] = ()
+    df: DataFrame,
+    order: Sequence[str],
+    measure: str,
+    name: str,
+    groups: Sequence[str] = (),
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``name``: the sum of ``measure`` over the rows before this one in ``order``, within ``groups``.
 
     ``order`` must not tie inside a group. Rows are range-partitioned, summed per slice, and the slice totals (one row
-    per slice and group boundary) are carried forward.
+    per slice and group boundary) are carried forward. ``keep`` may choose among the slices, given with the sum
+    ``_carried`` before each and its own ``_total``; the rows of the others are dropped before they are sorted.
     """
     groups, order = list(groups), list(order)
     spread = _sliced(df, groups + order)
     before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = spread.groupBy(*groups, "_slice").agg(F.sum(measure).alias("_total"))
-    carried = totals.select(
-        *groups, "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carried")
-    )
+    carried = totals.withColumn("_carried", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    if keep is not None:
+        carried = keep(carried)
     inside = (
         Window.partitionBy(*groups, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     # carried has at most (number of slices + number of groups) rows.
     return (
-        spread.withColumn("_inside", F.coalesce(F.sum(measure).over(inside), F.lit(0)))
-        .join(F.broadcast(carried), [*groups, "_slice"])
-        .withColumn(name, F.col("_inside") + F.col("_carried"))
-        .drop("_inside", "_carried", "_slice")
+        spread.join(F.broadcast(carried.drop("_total")), [*groups, "_slice"])
+        .withColumn(name, F.coalesce(F.sum(measure).over(inside), F.lit(0)) + F.col("_carried"))
+        .drop("_carried", "_slice")
     )
 
 
