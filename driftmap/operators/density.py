@@ -24,8 +24,9 @@ from driftmap.operators.cluster import NOISE
 from driftmap.operators.components import connected_components
 from driftmap.operators.scale import HOT_ROWS, cut, cut_counting, global_rank, hot_hashes, lookup, split_hot
 
-#: Cells are this much narrower than eps / sqrt(2), so that rounding never puts a cell's points out of reach.
-_SHRINK = (1 - 1e-9) / math.sqrt(2)
+#: Cells are a little narrower than eps / sqrt(2), so that rounding does not put a cell's points out of reach; this
+#: holds for coordinates up to 1e9 times eps.
+_SHRINK = (1 - 1e-6) / math.sqrt(2)
 #: Two cells with at most this many pairs of points are compared point by point.
 _SMALL = 1024
 #: Queries are broadcast to hot cells up to this many rows.
@@ -51,6 +52,14 @@ def _usable(points: DataFrame) -> DataFrame:
     )
 
 
+def _cell_within_reach() -> Column:
+    """Whether the cell ``cx, cy`` comes as close to the query as its radius, with room for rounding."""
+    side, zero = F.col("r") * _SHRINK, F.lit(0.0)
+    gap = lambda c, q: F.greatest(F.col(c) * side - F.col(q), F.col(q) - (F.col(c) + 1) * side, zero)
+    gx, gy = gap("cx", "qx"), gap("cy", "qy")
+    return F.sqrt(gx * gx + gy * gy) <= F.col("r") * (1 + 1e-6)
+
+
 def _near(queries: DataFrame, points: DataFrame, min_samples: int, at_most: int) -> DataFrame:
     """Pairs of a query (``g, qid, qx, qy, r, cx, cy``) and a point within its radius, with ``dist``.
 
@@ -61,6 +70,7 @@ def _near(queries: DataFrame, points: DataFrame, min_samples: int, at_most: int)
         .select("*", _offsets("dy"))
         .withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
         .drop("dx", "dy")
+        .filter(_cell_within_reach())
     )
     points = points.drop("r")
     hot = hot_hashes(points, _CELL, at_most=at_most)

@@ -84,7 +84,7 @@ def stored_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored_crawl(spark: SparkSession, sf_dir: str) -> str:
     """Write the crawl as gzipped JSON, one folder per week, and return where."""
     path = scratch_path(spark, "crawl")
-    stored = nested_crawl(spark, sf_dir).withColumn("folder", F.col("week")).drop("week")
+    stored = cut(nested_crawl(spark, sf_dir).withColumnRenamed("week", "folder"))
     weeks = [r["folder"] for r in stored.select("folder").distinct().collect()]
     for week in weeks:  # one folder per week, as crawls arrive
         stored.filter(F.col("folder") == week).drop("folder").write.option("compression", "gzip").json(f"{path}/{week}")
