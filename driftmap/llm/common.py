@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmap.operators.scale import scratch_path
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,3 +69,28 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> I
         held += size
     if len(sizes) > start:
         yield batch.slice(start)
+
+
+#: While an intermediate table is written: shuffle files go when it is done, and Arrow batches stay small for any rows.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once, compressed, to the shared folder and return that table, with no lineage behind it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = {key: spark.conf.get(key, None) for key in _WHILE_WRITING}
+    try:
+        for key, value in _WHILE_WRITING.items():
+            spark.conf.set(key, value)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)

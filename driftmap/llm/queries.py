@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmap.llm.common import table
 from driftmap.llm.decontaminate import contamination
 from driftmap.llm.mixing import plan_mix
+from driftmap.llm.near_dedup import near_duplicates
 from driftmap.llm.secret_scan import listed, scan
 from driftmap.llm.sharding import interleave, text_bytes, text_crc32
+from driftmap.llm.suffix_dedup import remove_repeats
+from driftmap.llm.token_files import read_tokens, write_tokens
 from driftmap.llm.topk import scaled, top_k
 from driftmap.llm.warc import read_archives, write_archives
 from driftmap.operators.scale import scratch_path
@@ -104,6 +108,13 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written as token files and read back."""
+    path = scratch_path(spark, "token-files")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path)
+
+
 def op6_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal counts, each with the mixture of sources of the whole."""
     docs = table(spark, sf_dir, "documents")
@@ -120,6 +131,11 @@ def op6_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share four fifths of their shingles of four words."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in passages of the benchmark."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -182,13 +198,21 @@ FROM s QUALIFY rank <= 20
 """
 
 
+def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 200 bytes that occur twice."""
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
     "op3_secrets": op3_secrets,
+    "op4_token_files": op4_token_files,
     "op6_interleave": op6_interleave,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_decontaminate": op8_decontaminate,
     "op9_top_k": op9_top_k,
+    "op10_remove_repeats": op10_remove_repeats,
 }
 
 ORACLES = {
