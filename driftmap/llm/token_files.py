@@ -10,8 +10,8 @@ The format is a folder with two Parquet tables: ``codes`` (``id, bits``) and ``b
 counts, checkpoints, bits, payload``); parts and blocks follow the order of ids. Parquet gives splits, atomic commits and
 any store; the driver sees only counts, of which there are at most as many as the vocabulary has ids.
 
-Ids come from the tokenizers library. It is asked once per distinct piece between the borders at which it splits texts
-anyway, and its answers are kept; texts with other characters than the Latin blocks, or with special tokens, are given
+Ids come from the tokenizers library. Its model is asked once per distinct piece between the borders at which it splits
+texts anyway, and its answers are kept; texts with other characters than the Latin blocks, or with special tokens, are given
 to it whole. Whether splitting here and there agree is tried on all those characters before it is relied on.
 
 Defined results: a NULL text is empty; every document ends in the end id, also an empty one; NULL ids come first;
@@ -61,21 +61,37 @@ class PieceEncoder:
         )
         self.foreign = re.compile(f"[^\\x00-{chr(_LATIN - 1)}]")
         self.known: dict[str, bytes] = {}
+        self.signs = self._byte_signs()
         self.by_piece = self._agrees()
 
+    @staticmethod
+    def _byte_signs() -> dict[int, str]:
+        """The sign by which byte-level vocabularies name each byte of Latin texts, as the library gives it."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        signs = {}
+        for c in map(chr, range(_LATIN)):
+            signs.update(zip(c.encode(), level.pre_tokenize_str(c)[0][0]))
+        return signs
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _piece_ids(self, piece: str) -> bytes:
+        named = piece.encode().decode("latin-1").translate(self.signs)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(named)], self.dtype).tobytes()
+
     def _by_piece(self, text: str) -> bytes:
         known, found = self.known, self.pieces.findall(text)
         try:
             return b"".join([known[p] for p in found])
         except KeyError:
-            if len(known) > 500_000:
+            if len(known) > 600_000:
                 known.clear()
             for p in found:
                 if p not in known:
-                    known[p] = self._ids(p)
+                    known[p] = self._piece_ids(p)
             return b"".join([known[p] for p in found])
 
     def _agrees(self) -> bool:
