@@ -15,6 +15,7 @@ from driftmap.llm.sharding import interleave, text_bytes, text_crc32
 from driftmap.llm.suffix_dedup import remove_repeats
 from driftmap.llm.token_files import read_tokens, write_tokens
 from driftmap.llm.topk import scaled, top_k
+from driftmap.llm.toxicity import fit, score
 from driftmap.llm.warc import read_archives, write_archives
 from driftmap.operators.scale import scratch_path
 
@@ -115,6 +116,28 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from: those of ids whose checksum modulo 4 is not 2."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return labels.filter(~_held_out(F.col("doc_id")))
+
+
+def _held_out(doc_id):
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scores = score(docs, fit(docs, toxic_labels(spark, sf_dir)), carry=["doc_id"])
+    return scores.select(
+        "doc.doc_id",
+        _held_out(F.col("doc.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op6_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal counts, each with the mixture of sources of the whole."""
     docs = table(spark, sf_dir, "documents")
@@ -208,6 +231,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_secrets": op3_secrets,
     "op4_token_files": op4_token_files,
+    "op5_toxicity": op5_toxicity,
     "op6_interleave": op6_interleave,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_decontaminate": op8_decontaminate,
