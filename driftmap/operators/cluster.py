@@ -30,9 +30,13 @@ def _estimator(algo: str, k: int, seed: int, params: dict):
     raise ValueError(f"unknown algorithm {algo!r}")
 
 
-def silhouette_score(df: DataFrame, metric: str = "cosine", features: str = "features") -> float | None:
-    """Mean silhouette of a labelled vector column; None with fewer than two clusters."""
-    if df.select("prediction").distinct().limit(2).count() < 2:
+def silhouette_score(
+    df: DataFrame, metric: str = "cosine", features: str = "features", clusters: int | None = None
+) -> float | None:
+    """Mean silhouette of a labelled vector column; None with fewer than two clusters, whose number may be given."""
+    if clusters is None:
+        clusters = df.select("prediction").distinct().limit(2).count()
+    if clusters < 2:
         return None
     return ClusteringEvaluator(
         predictionCol="prediction", featuresCol=features, metricName="silhouette", distanceMeasure=metric
@@ -63,19 +67,21 @@ def sweep_k(
 ) -> DataFrame:
     """Fit one model per ``k`` and score it: ``algo, k, k_actual, silhouette``.
 
-    The vectors are prepared and cached once for all fits. Values of ``k`` not below the number of rows are left out.
+    The vectors are prepared and cached once for all fits, and labelled once per fit. Every ``k`` has a row; with fewer
+    rows than ``k`` there are fewer clusters, and with fewer than two the silhouette is NULL.
     """
     features = to_features(df, col).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = features.count()
         rows = []
         for k in ks:
-            if k >= n:
+            if not n:
+                rows.append((algo, int(k), 0, None))
                 continue
             model = _estimator(algo, k, seed, params).fit(features)
+            found = sum(size > 0 for size in model.summary.clusterSizes)
             labelled = model.transform(features).select("features", "prediction")
-            found = labelled.select("prediction").distinct().count()
-            rows.append((algo, int(k), int(found), silhouette_score(labelled, metric)))
+            rows.append((algo, int(k), found, silhouette_score(labelled, metric, clusters=found)))
     finally:
         features.unpersist()
     return df.sparkSession.createDataFrame(rows, "algo string, k int, k_actual int, silhouette double")
@@ -111,20 +117,28 @@ def topic_model(
     n_terms: int = 3,
     id_col: str = "id",
     tokens: str = "tokens",
-    vocabulary: int = 1 << 18,
+    vocabulary: int | None = None,
     max_iter: int = 20,
     seed: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """LDA over token lists: the top terms per topic, and the likeliest topic per row.
 
-    Returns ``topic, term, weight`` and ``id, prediction``; rows with no tokens get no topic (NULL). ``vocabulary``
-    bounds the model, which Spark ML keeps on the driver.
+    Returns ``topic, term, weight`` and ``id, prediction``; rows with no tokens get no topic (NULL). Expectation
+    maximisation looks at all rows in every pass. Its start depends on how rows are partitioned, so topics may be
+    numbered and weighted otherwise on another cluster. All terms are used; Spark ML keeps them on the driver, and a
+    caller may set ``vocabulary``, the most terms allowed, beyond which this raises.
     """
-    counted = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocabulary)
     rows = cut(df.select(F.col(id_col).alias("id"), F.col(tokens).alias(tokens)))
-    counter = counted.fit(rows)
+    different = rows.select(F.explode(tokens).alias("term")).agg(F.count_distinct("term")).first()[0]
+    if vocabulary is not None and different > vocabulary:
+        raise ValueError(f"{different} distinct terms, more than the {vocabulary} allowed")
+    if not different:
+        none = rows.sparkSession.createDataFrame([], "topic int, term string, weight double")
+        return none, rows.select("id", F.lit(None).cast("int").alias("prediction"))
+    counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=different).fit(rows)
     features = counter.transform(rows)
-    model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features").fit(features)
+    known = features.filter(F.size(tokens) > 0)
+    model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features", optimizer="em").fit(known)
     words = rows.sparkSession.createDataFrame(list(enumerate(counter.vocabulary)), "term_id int, term string")
     terms = (
         model.describeTopics(n_terms)

@@ -16,7 +16,11 @@ from driftmap.operators.scale import cut_counting, hot_hashes, lookup, running_t
 
 
 def _upper_tail(t: float, dof: float) -> float:
-    """Two-sided p-value of Student's t, from the continued fraction of the incomplete beta function."""
+    """Two-sided p-value of Student's t: the continued fraction of the incomplete beta function, or for very many
+    degrees of freedom, where that rounds, the normal tail of Wallace's transformation."""
+    if dof > 1e7:
+        z = (8 * dof + 1) / (8 * dof + 3) * math.sqrt(dof * math.log1p(t * t / dof))
+        return math.erfc(z / math.sqrt(2.0))
     x, rest = dof / (dof + t * t), t * t / (dof + t * t)
     a, b = dof / 2.0, 0.5
     if rest <= 0.0:
@@ -32,7 +36,7 @@ def _upper_tail(t: float, dof: float) -> float:
     # Evaluated from the tail inwards, with enough terms for any number of degrees of freedom.
     terms = int(60 + 2 * math.sqrt(max(a, b)))
     value = 1.0
-    for m in range(min(terms, 20_000), 0, -1):
+    for m in range(terms, 0, -1):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         value = 1.0 + even / (1.0 + odd / value)
@@ -53,7 +57,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
     """All pairs of columns: ``a, b, r, n, t, p, stars``.
 
     Each pair uses the rows in which both values are present. ``t`` is NULL where it is not finite; ``stars`` has one
-    star for each of p <= .05, .01, .001, and always three on the diagonal.
+    star for each of p <= .05, .01, .001. A column without variation has no correlation, not even with itself.
     """
     if method == "pearson":
         upper = _pearson(df, cols)
@@ -70,7 +74,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
     full = upper.select(mirrored.alias("at"), "r", "n").select(
         F.element_at(names, F.col("at.i") + 1).alias("a"),
         F.element_at(names, F.col("at.j") + 1).alias("b"),
-        F.when(F.col("at.i") == F.col("at.j"), F.when(F.col("n") > 1, F.lit(1.0))).otherwise(F.col("r")).alias("r"),
+        F.when(F.col("at.i") == F.col("at.j"), F.when((F.col("n") > 1) & F.col("r").isNotNull(), F.lit(1.0))).otherwise(F.col("r")).alias("r"),
         "n",
     )
     rest = 1.0 - F.col("r") * F.col("r")
@@ -98,7 +102,10 @@ def _pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for i in range(len(cols)):
         for j in range(i, len(cols)):
             both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
-            r = F.corr(F.when(both, F.col(f"c{i}")), F.when(both, F.col(f"c{j}")))
+            a, b = (F.when(both, F.col(f"c{k}")) for k in (i, j))
+            spread = F.stddev_pop(a) * F.stddev_pop(b)
+            r = F.least(F.greatest(F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0)), F.lit(-1.0)), F.lit(1.0))
+            r = F.when(spread > 0, r)
             parts.append(
                 F.struct(
                     F.lit(i).alias("i"),
@@ -123,7 +130,7 @@ def _spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     alone = df.agg(
         F.array(
             *[
-                F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.lit(1.0).alias("r"), F.count(present(c)).alias("n"))
+                F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.when(F.min(present(c)) < F.max(present(c)), 1.0).alias("r"), F.count(present(c)).alias("n"))
                 for i, c in enumerate(cols)
             ]
         ).alias("_rows")
@@ -166,5 +173,5 @@ def _spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         )
     )
     spread = F.nullif(F.sqrt(F.col("aa")) * F.sqrt(F.col("bb")), F.lit(0.0))
-    r = F.least(F.greatest(F.col("ab") / spread, F.lit(-1.0)), F.lit(1.0)).alias("r")
-    return sums.select("i", "j", r, "n").unionByName(alone)
+    r = F.when(spread.isNotNull(), F.least(F.greatest(F.col("ab") / spread, F.lit(-1.0)), F.lit(1.0)))
+    return sums.select("i", "j", r.alias("r"), "n").unionByName(alone)

@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 
 from driftmap.operators.cluster import NOISE
 from driftmap.operators.components import connected_components
-from driftmap.operators.scale import HOT_ROWS, cut, cut_counting, global_rank, hot_hashes, lookup, split_hot
+from driftmap.operators.scale import cut, cut_counting, global_rank, hot_hashes, lookup, split_hot
 
 #: Cells are a little narrower than eps / sqrt(2), so that rounding does not put a cell's points out of reach; this
 #: holds for coordinates up to 1e9 times eps.
 _SHRINK = (1 - 1e-6) / math.sqrt(2)
 #: Two cells with at most this many pairs of points are compared point by point.
 _SMALL = 1024
-#: Queries are broadcast to hot cells up to this many rows.
-_BROADCAST_ROWS = 2_000_000
+#: Parts into which the points of a hot cell are dealt; the few queries that reach it are copied to each.
+_CELL_PARTS = 64
 
 _CELL = ["g", "cx", "cy"]
 _AREA = ["g", "lx", "ly"]
@@ -74,11 +74,14 @@ def _near(queries: DataFrame, points: DataFrame, min_samples: int, at_most: int)
     )
     points = points.drop("r")
     hot = hot_hashes(points, _CELL, at_most=at_most)
-    if hot and 25 * min_samples * len(hot) <= _BROADCAST_ROWS:
-        # Points of hot cells stay where they are and meet all the queries that reach those cells.
+    if hot:
+        # Points of hot cells are dealt into parts, and the fewer than 25 * min_samples queries of a cell meet each part.
         hot_points, points = split_hot(points, _CELL, hot)
         hot_reach, reach = split_hot(reach, _CELL, hot)
-        met = hot_points.join(F.broadcast(hot_reach), _CELL).unionByName(points.join(reach, _CELL))
+        hot_points = hot_points.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(_CELL_PARTS)).cast("int"))
+        hot_reach = hot_reach.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_CELL_PARTS - 1))))
+        in_hot = hot_points.join(hot_reach, [*_CELL, "_part"]).drop("_part")
+        met = in_hot.unionByName(points.join(reach, _CELL))
     else:
         met = points.join(reach, _CELL)
     dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
@@ -237,9 +240,15 @@ def _split(pairs: DataFrame, core: DataFrame, depth: int) -> DataFrame:
 
 def _compare_points(pairs: DataFrame, core: DataFrame, depth: int, rows: int) -> DataFrame:
     """Links among small pairs, from their points; a pair brings at most ``_SMALL`` combinations."""
-    points = _at_depth(core, depth).select("g", "k", "x", "y")
-    # A hot cell has far more points than a small pair may bring, so none of its points is needed here.
-    _, points = split_hot(points, ["g", "k"], hot_hashes(points, ["g", "k"], max(HOT_ROWS, _SMALL), rows))
+    # Only the cells of open pairs; none of them has more than _SMALL points, so the semi-join also keeps hot cells out.
+    open_cells = pairs.select("g", F.col("ka").alias("k")).union(pairs.select("g", F.col("kb").alias("k"))).distinct()
+    points = lookup(
+        _at_depth(core, depth).select("g", "k", "x", "y"),
+        open_cells.withColumn("_open", F.lit(True)),
+        ["g", "k"],
+        "inner",
+        at_most=rows,
+    ).drop("_open")
     at = lambda s: points.select(
         "g", F.col("k").alias(f"k{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}")
     )
@@ -271,7 +280,7 @@ def core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return flagged.select("id", "core")
 
 
-def eps_neighbors(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+def sparse_neighbors(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """Neighbours within ``eps`` of the points that are not core points: ``id, other_id, dist``, self left out.
 
     Each such point has fewer than ``min_samples`` neighbours, so the table grows with the points; the neighbours of
@@ -316,7 +325,8 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
 def _radii(points: DataFrame, min_samples: int, alpha: float, levels: int) -> list[float]:
     """Falling radii, in equal ratios, from one that reaches all points to one that only the densest stay within.
 
-    How many points lie in well-filled cells is counted for 24 grids, each twice as fine as the one before.
+    How many points lie in well-filled cells is counted for grids, each twice as fine as the one before: 24 at a time,
+    until well-filled cells hold fewer than a hundredth of the points or every place has a cell of its own.
     """
     box = points.agg(
         F.count("*").alias("n"),
@@ -324,15 +334,24 @@ def _radii(points: DataFrame, min_samples: int, alpha: float, levels: int) -> li
     ).head()
     if not box["n"] or not box["width"]:
         return [1.0]
-    grids = points.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("j"))
-    side = F.lit(box["width"]) / F.pow(F.lit(2.0), F.col("j"))
-    cells = grids.groupBy("j", _index("x", side).alias("cx"), _index("y", side).alias("cy")).count()
-    filled = cells.groupBy("j").agg(F.sum(F.when(F.col("count") > min_samples, F.col("count"))).alias("n")).collect()
-    held = [0] * 24
-    for row in filled:
-        held[row["j"]] = row["n"] or 0
-    coarse = max([j for j in range(24) if held[j] >= 0.99 * box["n"]], default=0)
-    fine = max([j for j in range(24) if held[j] >= 0.01 * box["n"]], default=coarse)
+    places = points.groupBy("x", "y").agg(F.count("*").alias("n"))
+    different = places.count()
+    held: list[int] = []
+    # Past 1000 halvings no two different doubles of the box share a cell.
+    while len(held) < 1000 and (not held or held[-1] >= 0.01 * box["n"]):
+        first = len(held)
+        grids = places.select("x", "y", "n", F.explode(F.sequence(F.lit(first), F.lit(first + 23))).alias("j"))
+        side = F.lit(box["width"]) / F.pow(F.lit(2.0), F.col("j"))
+        cells = grids.groupBy("j", *[F.rint(F.col(c) / side) for c in ("x", "y")]).agg(F.sum("n").alias("n"))
+        filled = cells.groupBy("j").agg(
+            F.sum(F.when(F.col("n") > min_samples, F.col("n"))).alias("n"), F.count("*").alias("cells")
+        )
+        rows = {r["j"]: r for r in filled.collect()}
+        held += [rows[j]["n"] or 0 for j in range(first, first + 24)]
+        if rows[first + 23]["cells"] == different:
+            break
+    coarse = max([j for j, n in enumerate(held) if n >= 0.99 * box["n"]], default=0)
+    fine = max([j for j, n in enumerate(held) if n >= 0.01 * box["n"]], default=coarse)
     top = box["width"] / 2**coarse * 1.5 / min(alpha, 1.0)
     bottom = box["width"] / 2**fine / 4
     if levels == 1:
@@ -404,6 +423,8 @@ def density_tree(
     )
     named = heads.select(F.col("node").alias("above"), F.col("head").alias("outer"))
     clusters = cut(clusters.filter(F.col("head.g") >= 0).join(named, "above", "left").drop("above"))
+    if clusters.isEmpty():  # only the root, which is never kept
+        return points.select("id", F.lit(NOISE).alias("prediction"))
     kept = _excess_of_mass(clusters)
 
     in_kept = heads.join(kept, "head", "left_semi").select("node.g", "node.component", "head")

@@ -1,4 +1,4 @@
-"""Autoencoder trained in parallel on all partitions, by averaging models after every epoch."""
+"""Autoencoder trained in parallel on shards of the rows, by averaging models after every epoch."""
 
 from __future__ import annotations
 
@@ -167,24 +167,31 @@ def autoencoder_fit(
     epochs: int = 20,
     seed: int = 1,
     col: str = "embedding",
-    replicas: int | None = None,
+    shards: int = 16,
 ) -> tuple[Encoder, DataFrame]:
     """Fit an autoencoder; returns the model and its loss curve ``epoch, mean_loss``.
 
-    ``layers`` lists the widths from the input to the narrowest layer. In every epoch each of ``replicas`` tasks (as
-    many as there are cores, by default) trains a copy on its rows in small batches; the copies are averaged, weighted
-    by rows, in distributed chunks, so that no task or driver ever holds more than one model and a few chunks. The mean
-    loss is that seen while training.
+    ``layers`` lists the widths from the input to the narrowest layer. Rows are dealt by the hash of their vector into
+    at most ``shards`` parts, and sorted by it, so that the result does not depend on the cluster. In every epoch each
+    part trains a copy on its rows in small batches, with the optimizer's moments starting anew; the copies are averaged,
+    weighted by rows, in distributed chunks, so that no task or driver ever holds more than one model and a few chunks.
+    The mean loss is that seen while training. Rows without a vector are left out; a vector of another width than
+    ``layers[0]``, or with a missing element, is an error.
     """
     spark = df.sparkSession
     model = Encoder.start(layers, hidden, bottleneck, output, seed)
+    vector = F.col(col)
+    broken = vector.isNotNull() & ((F.size(vector) != layers[0]) | F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
+    wrong = df.agg(F.count_if(broken)).first()[0]
+    if wrong:
+        raise ValueError(f"{wrong} vectors are not of width {layers[0]} or have missing elements")
     vectors = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("array<float>").alias("v"))
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = vectors.repartition(shards, F.pmod(F.xxhash64("v"), F.lit(4 * shards)))
+    vectors = vectors.sortWithinPartitions(F.xxhash64("v")).persist(StorageLevel.MEMORY_AND_DISK)
     losses = []
     try:
-        rows = vectors.coalesce(replicas or spark.sparkContext.defaultParallelism)
         for epoch in range(epochs):
-            trained = rows.mapInArrow(
+            trained = vectors.mapInArrow(
                 _train_partition(model, lr, weight_decay, batch, seed + epoch),
                 "chunk int, params array<double>, n bigint, loss double",
             )

@@ -181,11 +181,11 @@ def histogram(df: DataFrame, col: str, n: int = 20, edges: Sequence[float] | Non
     """Rows per bin: ``bin, lo, hi, count``, empty bins included, the last bin closed on both sides.
 
     With ``edges`` the bins are fixed and values outside them are not counted; otherwise ``n`` bins of equal width span
-    the values, one bin if they are all equal, none if there are no values. NULL and NaN are ignored.
+    the values, one bin if they are all equal, none if there are no values. NULL, NaN and infinite values are ignored.
     """
     spark = df.sparkSession
-    values = df.filter(_present(df, col)).select(F.col(col).cast("double").alias("v"))
     v = F.col("v")
+    values = df.filter(_present(df, col)).select(F.col(col).cast("double").alias("v")).filter(F.abs(v) < float("inf"))
     if edges is not None:
         bounds = F.array(*[F.lit(float(e)) for e in edges])
         last = len(edges) - 2

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from driftmap.operators.scale import lookup
 
 
+#: Rows per group that Spark keeps in each task before a shuffle (its window group limit), and parts of larger groups.
+_RANKED_EARLY, _GROUP_PARTS = 1000, 64
+
+
 def keep_relevant(df: DataFrame, urls: DataFrame, key: str = "url", how: str = "left_semi") -> DataFrame:
     """Keep rows whose ``key`` is listed. ``how="inner"`` repeats a row for every copy of its key in the list."""
     return df.join(urls.select(key), key, how)
@@ -57,8 +61,17 @@ def cluster_members(df: DataFrame, cluster: int, n: int = 40, key: str = "url")
 
 
 def top_n_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group in ``order``; each task keeps ``n`` per group before rows are shuffled."""
+    """The first ``n`` rows of each group in ``order``.
+
+    Each task keeps ``n`` per group before rows are shuffled. Spark does that up to ``_RANKED_EARLY``; for more, rows are
+    first ranked in parts of each group.
+    """
     groups = [group] if isinstance(group, str) else list(group)
+    if n > _RANKED_EARLY:
+        part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(_GROUP_PARTS))
+        inside = Window.partitionBy(*groups, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_rank", F.row_number().over(inside))
+        df = df.filter(F.col("_rank") <= n).drop("_part", "_rank")
     window = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).drop("_rank")
 

@@ -31,7 +31,9 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    # Only a session without the setting, as in tests, gets a folder of its own.
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # Only a local session without the setting, as in tests, gets a folder of its own.
     application = spark.sparkContext.applicationId
     if application not in _own_roots:
         _own_roots[application] = tempfile.mkdtemp(prefix="driftmap-")

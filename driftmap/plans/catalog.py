@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import driftmap.operators.profile as profile
@@ -49,6 +50,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 EPS, MIN_SAMPLES = 0.02, 5
+#: The same for vectors of length one projected to the plane.
+PIPELINE_EPS, PIPELINE_SAMPLES = 0.03, 5
+#: Numbers of clusters that are tried.
+SWEEP = (2, 50, 100, 200, 350, 500, 750, 1000)
 DIFFERENCES = MEASURES[2:]
 
 
@@ -193,14 +198,35 @@ def _(spark, sf_dir):
     return link_counts(crawl(spark, sf_dir)).select("url", "fetchDate", "internalLinksCount", "externalLinksCount")
 
 
-@query("to_features")
+@query(
+    "to_features",
+    """SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS value
+       FROM embeddings""",
+)
+def _(spark, sf_dir):
+    features = to_features(table(spark, sf_dir, "embeddings"), "embedding")
+    return features.select("vec_id", F.posexplode(vector_to_array("features")).alias("pos", "value"))
+
+
+@query(
+    "assemble",
+    f"WITH {POINTS_SQL} SELECT id, CAST(0 AS INTEGER) AS pos, x AS value FROM points UNION ALL SELECT id, 1, y FROM points",
+)
 def _(spark, sf_dir):
-    return to_features(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "features")
+    features = relational.assemble(points(spark, sf_dir), ["x", "y"])
+    return features.select("id", F.posexplode(vector_to_array("features")).alias("pos", "value"))
 
 
-@query("assemble")
+@query(
+    "non_negative",
+    """WITH s AS (SELECT user_id, event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)
+       SELECT user_id, event_id, round(step, 6) + 0.0 AS step FROM s WHERE step >= 0""",
+)
 def _(spark, sf_dir):
-    return relational.assemble(points(spark, sf_dir), ["x", "y"]).select("id", "features")
+    stepped = table(spark, sf_dir, "events").withColumn(
+        "step", F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    )
+    return relational.non_negative(stepped, "step").select("user_id", "event_id", rounded("step"))
 
 
 @query(
@@ -242,6 +268,14 @@ def _(spark, sf_dir):
     return relational.cluster_members(clustered_urls(spark, sf_dir), 3).select("page_id", "url")
 
 
+@query(
+    "cluster_sample",
+    """SELECT page_id, url FROM pages WHERE page_id % 7 - 1 = 3 ORDER BY md5(url), url LIMIT 10""",
+)
+def _(spark, sf_dir):
+    return relational.cluster_members(clustered_urls(spark, sf_dir), 3, n=10).select("page_id", "url")
+
+
 # --- joins ------------------------------------------------------------------------------------------------------------
 
 
@@ -287,7 +321,7 @@ def _(spark, sf_dir):
          WHERE NOT core AND near.id <> other_id""",
 )
 def _(spark, sf_dir):
-    return density.eps_neighbors(points(spark, sf_dir), EPS, MIN_SAMPLES).select("id", "other_id", rounded("dist"))
+    return density.sparse_neighbors(points(spark, sf_dir), EPS, MIN_SAMPLES).select("id", "other_id", rounded("dist"))
 
 
 # --- windows and sorts ------------------------------------------------------------------------------------------------
@@ -557,6 +591,33 @@ def _(spark, sf_dir):
     return _bins(profile.histogram(stored_drift(spark, sf_dir), "euclidean_distance"))
 
 
+_ROUNDED_DRIFT_SQL = (
+    DRIFT_SQL
+    + """, steady AS (SELECT url, fetchDate, round(cosine_distance, 9) + 0.0 AS cosine_distance, euclidean_distance,
+  content_length_difference, internal_link_count_difference, external_link_count_difference FROM drift)
+"""
+)
+
+
+def steady_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift table with cosine distances freed of rounding noise, which differs between engines."""
+    return stored_drift(spark, sf_dir).withColumn("cosine_distance", rounded("cosine_distance", 9))
+
+
+@query("cosine_histogram", f"WITH {_ROUNDED_DRIFT_SQL}, {_histogram_sql('steady', 'cosine_distance', 20)}")
+def _(spark, sf_dir):
+    return _bins(profile.histogram(steady_drift(spark, sf_dir), "cosine_distance"))
+
+
+@query(
+    "cosine_histogram_non_negative",
+    f"WITH {_ROUNDED_DRIFT_SQL}, kept AS (SELECT * FROM steady WHERE cosine_distance >= 0), "
+    + _histogram_sql("kept", "cosine_distance", 20),
+)
+def _(spark, sf_dir):
+    return _bins(profile.histogram(relational.non_negative(steady_drift(spark, sf_dir), "cosine_distance"), "cosine_distance"))
+
+
 @query("price_histogram", f"WITH {_histogram_sql('lineitem', 'l_extendedprice', 50)}")
 def _(spark, sf_dir):
     return _bins(profile.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 50))
@@ -609,7 +670,7 @@ def _matrix_sql(source: str, cols, rank: bool = False) -> str:
             r = "1.0" if a == b else "corr(u, v)"
             parts.append(f"SELECT '{a}' AS a, '{b}' AS b, CAST({r} AS DOUBLE) AS r, count(*) AS n FROM ({pair})")
     return f"""SELECT a, b, round(r, 6) + 0.0 AS r, n,
-        CASE WHEN a <> b THEN round(r * sqrt((n - 2) / (1 - r * r)), 4) + 0.0 END AS t FROM ({' UNION ALL '.join(parts)})"""
+        CASE WHEN a <> b AND r * r < 1 THEN round(r * sqrt((n - 2) / (1 - r * r)), 4) + 0.0 END AS t FROM ({' UNION ALL '.join(parts)})"""
 
 
 def _matrix(df: DataFrame) -> DataFrame:
@@ -621,14 +682,41 @@ def _(spark, sf_dir):
     return _matrix(correlation_matrix(drift(spark, sf_dir), _SHARED))
 
 
+@query("drift_pearson", f"WITH {_ROUNDED_DRIFT_SQL} " + _matrix_sql("steady", MEASURES))
+def _(spark, sf_dir):
+    return _matrix(correlation_matrix(steady_drift(spark, sf_dir), MEASURES))
+
+
+@query(
+    "drift_spearman",
+    f"WITH {_ROUNDED_DRIFT_SQL}, r AS (SELECT * REPLACE (round(euclidean_distance, 9) AS euclidean_distance) FROM steady) "
+    + _matrix_sql("r", MEASURES, rank=True),
+)
+def _(spark, sf_dir):
+    steady = steady_drift(spark, sf_dir).withColumn("euclidean_distance", rounded("euclidean_distance", 9))
+    return _matrix(correlation_matrix(steady, MEASURES, "spearman"))
+
+
+@query(
+    "constant_column_correlation",
+    """WITH c AS (SELECT l_quantity AS q, l_tax AS t FROM lineitem)
+       SELECT 'one' AS a, 'one' AS b, CAST(NULL AS DOUBLE) AS r, count(*) AS n, CAST(NULL AS DOUBLE) AS t FROM c
+       UNION ALL SELECT 'one', 'q', NULL, count(*), NULL FROM c UNION ALL SELECT 'q', 'one', NULL, count(*), NULL FROM c
+       UNION ALL SELECT 'q', 'q', 1.0, count(*), NULL FROM c""",
+)
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.lit(1.0).alias("one"), F.col("l_quantity").alias("q"))
+    return _matrix(correlation_matrix(rows, ["one", "q"]))
+
+
 @query("correlation_significance")
 def _(spark, sf_dir):
     return correlation_matrix(table(spark, sf_dir, "lineitem"), _LINE_COLUMNS)
 
 
-@query("spearman_matrix", _matrix_sql("lineitem", _LINE_COLUMNS[:3], rank=True))
+@query("spearman_matrix", _matrix_sql("lineitem", _LINE_COLUMNS, rank=True))
 def _(spark, sf_dir):
-    return _matrix(correlation_matrix(table(spark, sf_dir, "lineitem"), _LINE_COLUMNS[:3], "spearman"))
+    return _matrix(correlation_matrix(table(spark, sf_dir, "lineitem"), _LINE_COLUMNS, "spearman"))
 
 
 @query(
@@ -674,7 +762,7 @@ def _fit(spark: SparkSession, sf_dir: str):
     vectors = table(spark, sf_dir, "embeddings")
     width = vectors.select(F.size("embedding").alias("d")).head()["d"]
     model, curve = autoencoder_fit(
-        vectors, [width, 2 * width // 3, width // 3], bottleneck="linear", output="linear", lr=2e-3, epochs=5
+        vectors, [width, 2 * width // 3, width // 3], bottleneck="linear", output="linear", lr=2e-3
     )
     return vectors, model, curve
 
@@ -712,12 +800,12 @@ def _(spark, sf_dir):
 
 @query("sweep_kmeans")
 def _(spark, sf_dir):
-    return cluster.sweep_k(table(spark, sf_dir, "embeddings"), "kmeans", [2, 10])
+    return cluster.sweep_k(table(spark, sf_dir, "embeddings"), "kmeans", SWEEP)
 
 
 @query("sweep_bisecting")
 def _(spark, sf_dir):
-    return cluster.sweep_k(table(spark, sf_dir, "embeddings"), "bisecting", [2, 10])
+    return cluster.sweep_k(table(spark, sf_dir, "embeddings"), "bisecting", [2, 10, 50])
 
 
 @query("sweep_gmm")
@@ -754,7 +842,7 @@ def _(spark, sf_dir):
 
 @query("density_tree")
 def _(spark, sf_dir):
-    return density.density_tree(points(spark, sf_dir), 20, 10, 0.4, levels=12)
+    return density.density_tree(points(spark, sf_dir), 20, 10, 0.4)
 
 
 _LEVELS = (0.05, 0.03, 0.02)
@@ -789,12 +877,12 @@ def _address_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("topic_terms")
 def _(spark, sf_dir):
-    return cluster.topic_model(_address_words(spark, sf_dir), 3, max_iter=5)[0]
+    return cluster.topic_model(_address_words(spark, sf_dir), 3)[0]
 
 
 @query("topic_assignments")
 def _(spark, sf_dir):
-    return cluster.topic_model(_address_words(spark, sf_dir), 3, max_iter=5)[1]
+    return cluster.topic_model(_address_words(spark, sf_dir), 3)[1]
 
 
 _SILHOUETTE_SQL = """,
@@ -895,6 +983,15 @@ def _(spark, sf_dir):
     return token_counts(explode_tokens(kept))
 
 
+@query("topic_pipeline")
+def _(spark, sf_dir):
+    """Vectors to the plane, clusters by density, and the words that their pages' addresses share."""
+    placed = project_2d(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("id"), "x", "y")
+    addresses = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    found = cut(density.dbscan(placed.select("id", "x", "y"), PIPELINE_EPS, PIPELINE_SAMPLES))
+    return cluster_keywords(addresses.join(found, "id"), n=5)
+
+
 @query(
     "cluster_keywords",
     _WORDS_SQL

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmap.operators.scale import running_total
+
 #: Declared, never inferred: inference would read every gzip file twice.
 CRAWL_SCHEMA = (
     "url STRING, fetch STRUCT<semanticVector: STRING, fetchDate: STRING, contentLength: BIGINT, "
@@ -36,18 +38,22 @@ def read_relevant_urls(spark: SparkSession, path: str) -> DataFrame:
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """Read 2-D points from CSV with a header: ``id, url, x, y`` and ``prediction`` where the file has one.
 
-    Coordinates that are not numbers become NULL. ``id`` follows the order of the rows in the files.
+    Coordinates that are not numbers become NULL. ``id`` is the place of a row in the order of its values, so it depends
+    neither on how files are split nor on their order; equal rows get consecutive ids.
     """
     raw = spark.read.option("header", True).csv(path)
     columns = [
-        F.monotonically_increasing_id().alias("id"),
         F.col("url"),
         F.col("`Dimension 1`").try_cast("double").alias("x"),
         F.col("`Dimension 2`").try_cast("double").alias("y"),
     ]
     if "prediction" in raw.columns:
         columns.append(F.col("prediction").try_cast("int").alias("prediction"))
-    return raw.select(*columns)
+    rows = raw.select(*columns)
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies"))
+    placed = running_total(counted, rows.columns, "_copies", "_first")
+    copies = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)).alias("id")
+    return placed.select(copies, *rows.columns)
 
 
 def flatten_crawl(df: DataFrame) -> DataFrame:

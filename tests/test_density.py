@@ -54,7 +54,7 @@ def test_neighbours_of_sparse_points(spark, paths):
     core = near.sum(1) >= 8
     flags = dm.core_points(as_points(spark, xy), 0.3, 8).orderBy("id").collect()
     assert [r.core for r in flags] == core.tolist()
-    pairs = dm.eps_neighbors(as_points(spark, xy), 0.3, 8).collect()
+    pairs = dm.sparse_neighbors(as_points(spark, xy), 0.3, 8).collect()
     expected = {(i, j) for i, j in zip(*np.nonzero(near)) if i != j and not core[i]}
     assert {(r.id, r.other_id) for r in pairs} == expected and len(pairs) == len(expected)
 

@@ -45,7 +45,7 @@ def test_gradients():
 
 def test_encoder_learns(spark, vectors, tmp_path):
     model, curve = dm.autoencoder_fit(
-        vectors.repartition(3), [64, 48, 32], bottleneck="linear", output="linear", lr=3e-3, epochs=15, replicas=3
+        vectors.repartition(3), [64, 48, 32], bottleneck="linear", output="linear", lr=3e-3, epochs=15, shards=3
     )
     losses = [r.mean_loss for r in curve.orderBy("epoch").collect()]
     assert len(losses) == 15 and losses[-1] < losses[0]
