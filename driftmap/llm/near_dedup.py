@@ -7,9 +7,10 @@ the quarter that agrees by chance, estimates their similarity; pairs that could
 deviations considered, are confirmed on their full sets.
 
 Buckets are never expanded into all pairs at once. First every member is compared with the bucket's smallest class only;
-confirmed links form components. Then only buckets that still hold several components are looked at again, in blocks of
-members against blocks, and only pairs across components are confirmed. So groups of thousands of near copies cost a row
-each, and no link between components is left out: with bands of four minima, a pair at the threshold of 0.8 shares no
+confirmed links name components. Then only buckets that still hold several components are looked at again, in blocks of
+members against blocks, and only pairs across components are confirmed: first each member with its likeliest partners,
+at last all pairs that the estimate allows. So groups of thousands of near copies cost a few rows each, and no link
+between components is left out: with bands of four minima, a pair at the threshold of 0.8 shares no
 band with a probability below 1e-7.
 
 Defined results: words are split at ASCII white space after lower-casing A-Z; a text with fewer words than a shingle is
@@ -38,6 +39,9 @@ MINIMA, BANDS = 128, 32
 #: Bits kept of each minimum, and the 64-bit mask with the lower bit of each.
 BITS, _LOW = 2, 0x5555555555555555
 _BLOCK = 512
+#: After the first comparisons, members are compared across components: with their likeliest partners only, which joins
+#: most of what belongs together, then with all that are left.
+ROUNDS = (4, None)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = np.random.default_rng(20).integers(0, 2**64, (2, MINIMA), np.uint64)
 _XOR, _TIMES = _SEEDS[0][:, None], _SEEDS[1][:, None] | np.uint64(1)
@@ -109,7 +113,7 @@ def estimated_similarity(agreement: float) -> float:
 
 
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, class, n_shingles, bands, signature`` of every document."""
+    """``doc_id, text_hash, class, n_shingles, bands, signature`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHashes()
@@ -132,16 +136,20 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_hash"),
                         pa.array(classes, pa.binary()),
                         pa.array(counts, pa.int64()),
                         pa.array(bands, many),
                         pa.array(signatures, many),
                     ],
-                    ["doc_id", "class", "n_shingles", "bands", "signature"],
+                    ["doc_id", "text_hash", "class", "n_shingles", "bands", "signature"],
                 )
 
-    schema = "doc_id bigint, class binary, n_shingles bigint, bands array<bigint>, signature array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    schema = (
+        "doc_id bigint, text_hash bigint, class binary, n_shingles bigint, bands array<bigint>, signature array<bigint>"
+    )
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -193,9 +201,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of members ``bucket, class, component, n_shingles, signature`` of one bucket that lie in different
-    components and may be alike, found block against block."""
+def _across(members: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """``a, partners``: pairs of members ``bucket, class, component, n_shingles, signature`` of one bucket that lie in different
+    components and may be alike, found block against block. With ``best``, only each member's likeliest partners."""
     least = least_agreement(percent)
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / _BLOCK).cast("int")
@@ -232,16 +240,83 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                 x = bits[:n, None, :] ^ bits[None, n:, :]
                 agree = np.bitwise_count(~(x | (x >> one)) & low).sum(2)
                 fits = 100 * np.minimum(size[:n, None], size[None, n:]) >= percent * np.maximum(size[:n, None], size[None, n:])
-                found = np.argwhere((agree >= least) & fits & (label[:n, None] != label[None, n:]))
-                pairs = {tuple(sorted((both[p]["class"], both[n + q]["class"]))) for p, q in found.tolist()}
-                columns = list(zip(*pairs)) or [(), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
+                agree = np.where((agree >= least) & fits & (label[:n, None] != label[None, n:]), agree.astype(np.int16), -1)
+                chosen = agree >= 0
+                if best is not None:
+                    for axis in (0, 1):
+                        most = min(best, agree.shape[axis])
+                        limit = -np.partition(-agree, most - 1, axis=axis)
+                        limit = limit.take([most - 1], axis=axis)
+                        likely = agree >= np.maximum(limit, 0)
+                        kept = likely if axis == 0 else kept | likely
+                    chosen &= kept
+                found = np.argwhere(chosen)
+                partners: dict[bytes, set[bytes]] = {}
+                for p, q in found.tolist():
+                    a, b = sorted((both[p]["class"], both[n + q]["class"]))
+                    partners.setdefault(a, set()).add(b)
+                lists = [list(b) for b in partners.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(partners), pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["a", "partners"]
+                )
+
+    met = left.join(right, ["bucket", "j"]).select("left_rows", "right_rows")
+    listed = met.mapInArrow(run, "a binary, partners array<binary>")
+    return listed.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
+
+
+def _confirmed_lists(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b``, with ``b`` among the ``partners`` of ``a``, whose full sets are ``percent`` alike or more.
+
+    Sets are dealt into blocks; a task holds one block and meets it with each ``a`` that has partners there, so that a
+    set travels once per block and not once per pair.
+    """
+    blocks = max(1, math.ceil(sets.count() / _BLOCK))
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    asked = (
+        lookup(lists, sets.select(F.col("class").alias("a"), "shingles"), ["a"], "inner")
+        .select("a", "shingles", "partners", F.explode(F.array_distinct(F.transform("partners", block_of))).alias("block"))
+        .select(
+            "block",
+            F.lit(1).alias("kind"),
+            F.col("a").alias("class"),
+            "shingles",
+            F.filter("partners", lambda c: block_of(c) == F.col("block")).alias("partners"),
+        )
+    )
+    none = F.lit(None).cast("array<binary>").alias("partners")
+    held = sets.select(block_of(F.col("class")).alias("block"), F.lit(0).alias("kind"), "class", "shingles", none)
 
-    return left.join(right, ["bucket", "j"]).select("left_rows", "right_rows").mapInArrow(run, "a binary, b binary").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, here = None, {}
+        for batch in batches:
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("block", "kind", "class", "shingles", "partners")]
+            for block, kind, name, shingles, partners in zip(*columns):
+                if block != now:
+                    now, here = block, {}
+                x = np.frombuffer(shingles, np.uint64)
+                if kind == 0:
+                    here[name] = x
+                    continue
+                for partner in partners:
+                    y = here[partner]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        found.append((name, partner))
+            pairs = list(zip(*found)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in pairs], ["a", "b"])
+
+    return (
+        held.unionByName(asked)
+        .repartition("block")
+        .sortWithinPartitions("block", "kind")
+        .mapInArrow(run, "a binary, b binary")
+    )
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs(doc_id, text)``.
+    """``doc_id, text_hash, n_shingles, component_id, kept``, one row per row of ``docs(doc_id, text)``.
 
     Documents are linked if their sets of shingles of ``size`` words have ``100 * |both| >= percent * |either|``.
     """
@@ -278,32 +353,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         f" AND {_agreement('signature_a', 'signature_b')} >= {least_agreement(percent)}"
     )
     links = stored(_confirmed(likely.select("a", "b"), sets, percent), "links")
-    labels = connected_components(links).select(F.col("node").alias("class"), "component")
-
-    labelled = lookup(members.select("bucket", "class"), labels, ["class"]).select(
-        "bucket", "class", F.coalesce("component", "class").alias("component")
-    )
-    labelled = stored(labelled, "labelled")
-    mixed = (
-        labelled.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low != high")
-        .select("bucket", F.lit(True).alias("mixed"))
-    )
-    open_members = lookup(lookup(labelled, mixed, ["bucket"], "inner").drop("mixed"), short, ["class"], "inner")
-    more = stored(_confirmed(_across(stored(open_members, "open"), percent), sets, percent), "more")
-
-    everything = connected_components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
-    placed = lookup(classes.select("class", "doc_id"), everything, ["class"]).select(
+    # To begin with, a class is named by the smallest pivot it is linked to, or by that pivot's; equal names are connected.
+    named = stored(links.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("component")), "named")
+    further = named.select(F.col("class").alias("component"), F.col("component").alias("further"))
+    labels = lookup(named, further, ["component"]).select("class", F.coalesce("further", "component").alias("component"))
+
+    for best in ROUNDS:
+        labelled = lookup(members.select("bucket", "class"), labels, ["class"]).select(
+            "bucket", "class", F.coalesce("component", "class").alias("component")
+        )
+        labelled = stored(labelled, "labelled")
+        mixed = (
+            labelled.groupBy("bucket")
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .filter("low != high")
+            .select("bucket", F.lit(True).alias("mixed"))
+        )
+        open_members = lookup(lookup(labelled, mixed, ["bucket"], "inner").drop("mixed"), short, ["class"], "inner")
+        open_members = stored(open_members, "open")
+        likely_lists = stored(_across(open_members, percent, best), "likely")
+        more = stored(_confirmed_lists(likely_lists, sets, percent), "more")
+        if best is None and more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = connected_components(links).select(F.col("node").alias("class"), "component")
+
+    placed = lookup(classes.select("class", "doc_id"), labels, ["class"]).select(
         "class", "doc_id", F.coalesce("component", "class").alias("component")
     )
     placed = stored(placed, "placed")
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = lookup(placed.select("class", "component"), smallest, ["component"]).select("class", "component_id")
-    rows = lookup(scanned.select("doc_id", "class", "n_shingles"), named, ["class"])
+    found = lookup(placed.select("class", "component"), smallest, ["component"]).select("class", "component_id")
+    rows = lookup(scanned.select("doc_id", "text_hash", "class", "n_shingles"), found, ["class"])
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),

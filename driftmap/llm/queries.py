@@ -20,6 +20,10 @@ from driftmap.llm.warc import read_archives, write_archives
 from driftmap.operators.scale import scratch_path
 
 
+#: Score from which a document counts as toxic.
+THRESHOLD = 0.3
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents to target weights takes of each document."""
     plan = plan_mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
@@ -134,7 +138,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id",
         _held_out(F.col("doc.doc_id")).alias("held_out"),
         "score",
-        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
@@ -156,7 +160,8 @@ def op6_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share four fifths of their shingles of four words."""
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+    groups = near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
