@@ -33,7 +33,6 @@ def paths(request, monkeypatch):
     """The second run treats small cells as hot and splits all but the smallest pairs of cells."""
     if request.param == "hot":
         monkeypatch.setattr(scale, "HOT_ROWS", 15)
-        monkeypatch.setattr(density, "HOT_ROWS", 15)
         monkeypatch.setattr(density, "_SMALL", 4)
 
 

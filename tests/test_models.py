@@ -63,7 +63,7 @@ def test_encoder_learns(spark, vectors, tmp_path):
 
 def test_sweep(spark, vectors):
     swept = dm.sweep_k(vectors, "kmeans", [2, 4, 10_000]).collect()
-    assert [(r.k, r.k_actual) for r in swept] == [(2, 2), (4, 4)]
+    assert [(r.k, r.k_actual) for r in swept] == [(2, 2), (4, 4), (10_000, vectors.count())]
     labelled = dm.fit_clusters(vectors, "kmeans", 2)
     assert dm.silhouette(labelled).head().silhouette == pytest.approx(swept[0].silhouette)
     alone = labelled.withColumn("prediction", F.lit(0))
