@@ -251,10 +251,12 @@ def _across(members: DataFrame, percent: int, best: int | None) -> DataFrame:
                         kept = likely if axis == 0 else kept | likely
                     chosen &= kept
                 found = np.argwhere(chosen)
+                # Pairs are listed under the member with more of them, so that lists are long and few.
+                weight = np.concatenate([chosen.sum(1), chosen.sum(0)]).tolist()
                 partners: dict[bytes, set[bytes]] = {}
                 for p, q in found.tolist():
-                    a, b = sorted((both[p]["class"], both[n + q]["class"]))
-                    partners.setdefault(a, set()).add(b)
+                    a, b = sorted((-weight[k], both[k]["class"]) for k in (p, n + q))
+                    partners.setdefault(a[1], set()).add(b[1])
                 lists = [list(b) for b in partners.values()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(partners), pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["a", "partners"]
