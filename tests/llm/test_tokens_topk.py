@@ -22,11 +22,11 @@ def tokenizer():
 
 def test_pieces_give_the_librarys_ids(tokenizer, rows):
     encoder = tf.PieceEncoder(PATH)
-    assert encoder.by_pieces
+    assert encoder.by_piece
     odd = ["", " ", "\n\n  x", "I'M don't 'S we'LL", "a\x1c\x1db", "x\x85y\xa0\xa0z", "ǅabc ĳ 12½ ²³", "<|endoftext|>", "日本 x"]
     for text in odd + [r[1] or "" for r in rows]:
         want = tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == want
+        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == want
 
 
 def test_files_round_trip(spark, docs, rows, tokenizer, tmp_path):
