@@ -5,17 +5,19 @@ comes out shorter after the toxic dictionary holds what is typical of toxic text
 two, is set against what ordinary documents of that length have by chance; a logistic curve calibrated on other labelled
 documents turns the excess into a score.
 
-Dictionaries are trained by choosing their content: the words common to both classes, then those that a likelihood-ratio
-test (G²) finds typical of the class. Both are equally long, so common words stand equally far from a window, and windows
-differ in length by typical words only. Matches take six bytes at least. Windows of ordinary training documents that come
-out shorter by mistake, as they share part of a typical word, are put into both.
+Dictionaries are trained by choosing their content from the texts of their class. Candidates are all strings of six and
+eight bytes of a text's words joined by spaces, so parts of words and strings that reach over several words count too. A
+likelihood-ratio test (G²) finds those typical of a class. The passages of the class's texts that consist of typical
+strings make its dictionary, after the words common to both classes that hold none. Both are equally long, so common words
+stand equally far from a window, and windows differ in length by typical passages only. Matches take six bytes at least.
+Windows of ordinary training documents without a typical string that come out shorter by mistake are put into both.
 
 Labels are learned from a bounded sample: the ``SAMPLE_ROWS`` rows of each label with the smallest hashes; half of them
-give the words and half the curve. Words that reach the driver are bounded by the dictionaries' sizes. Scoring reads every
-whole text in one pass without a shuffle.
+give the passages and half the curve. Strings, passages and words that reach the driver are bounded by the dictionaries'
+sizes. Scoring reads every whole text in one pass without a shuffle.
 
 Defined results: NULL and empty texts have no windows and get the score of a document without evidence;
-rows with a NULL label are no examples; without examples of both labels, or without typical words, every document gets
+rows with a NULL label are no examples; without examples of both labels, or without typical strings, every document gets
 the share of label 1, or 0 if there are no labels; repeated rows get equal scores; an empty table gives no rows; columns
 of any name are carried in the struct ``doc``.
 """
@@ -36,14 +38,16 @@ from driftmap.llm.common import draw_key, first_32_bits, map_arrow, slices, stor
 
 #: Most labelled rows of each label that are learned from.
 SAMPLE_ROWS = 4000
-#: Bytes of typical and of common words in a dictionary, and of what follows as zstandard does not search the last ones.
+#: Bytes of typical passages and of common words in a dictionary, and of what follows as zstandard does not search the last ones.
 TYPICAL_BYTES, COMMON_BYTES, TAIL_BYTES = 8192, 32768, 16
 #: Windows of ordinary documents, mistaken at first, that are put into both dictionaries.
 MISTAKEN_WINDOWS = 200
 #: Words in a window, most bytes of a word.
 WINDOW, WORD_BYTES = 8, 64
-#: A word is typical if its G² reaches this, and this part of the largest.
-LEAST_G2, PART_OF_LARGEST = 30.0, 0.2
+#: Bytes of candidate strings, and most bytes of a passage; longer ones are cut.
+STRINGS, PASSAGE = (6, 8), 64
+#: A string is typical if its G² reaches this, as one in about a quarter of a million does by chance.
+LEAST_G2 = 20.0
 _LEAST_ROWS = 5
 _KEPT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -64,6 +68,34 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in starts]
 
 
+def places(data: bytes) -> list[np.ndarray]:
+    """The strings that start at each place, as numbers, for each of ``STRINGS``; data has no zero bytes."""
+    every = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
+    return [(every[: max(0, len(data) - n + 1)] & np.uint64((1 << 8 * n) - 1)).view(np.int64) for n in STRINGS]
+
+
+def strings(data: bytes) -> np.ndarray:
+    """Distinct strings of ``data``."""
+    return np.unique(np.concatenate(places(data)))
+
+
+def joined(words: Sequence[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" " if words else b""
+
+
+def passages(data: bytes, typical: np.ndarray) -> set[bytes]:
+    """Stretches of ``data`` that strings in ``typical`` cover."""
+    edges = np.zeros(len(data) + 1, np.int64)
+    for n, found in zip(STRINGS, places(data)):
+        at = np.flatnonzero(np.isin(found, typical))
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + n, -1)
+    held = np.diff(np.concatenate([[0], np.cumsum(edges) > 0, [0]]).astype(np.int8))
+    spans = zip(np.flatnonzero(held == 1).tolist(), np.flatnonzero(held == -1).tolist())
+    most = max(STRINGS)  # pieces overlap, so that no string is cut
+    return {data[k : min(k + PASSAGE, b)] for a, b in spans for k in range(a, max(a + 1, b - most), PASSAGE - most)}
+
+
 def compressor(content: bytes):
     """A function that compresses after a dictionary of ``content``."""
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -146,14 +178,15 @@ def _evidence(rows: DataFrame, model: Model, text: str, carry: Sequence[str]) ->
     return map_arrow(chosen, run, f"doc {doc}, number bigint, one bigint, two bigint")
 
 
-def _mistaken(rows: DataFrame, model: Model) -> DataFrame:
-    """``window``: windows that are shorter after the toxic dictionary."""
+def _mistaken(rows: DataFrame, model: Model, typical: np.ndarray) -> DataFrame:
+    """``window``: windows that are shorter after the toxic dictionary and hold no typical string."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         after_toxic, after_ordinary = compressor(model.toxic), compressor(model.ordinary)
         every = (w for text in batch.column("text").to_pylist() for w in windows(text_words(text)))
+        shorter = (w for w in every if len(after_toxic(w)) < len(after_ordinary(w)))
         return pa.RecordBatch.from_arrays(
-            [pa.array([w for w in every if len(after_toxic(w)) < len(after_ordinary(w))], pa.binary())], ["window"]
+            [pa.array([w for w in shorter if not np.isin(strings(w), typical).any()], pa.binary())], ["window"]
         )
 
     return map_arrow(rows.select("text"), run, "window binary")
@@ -181,47 +214,86 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         sample.dropDuplicates(["doc_id", "label"]).withColumn("half", first_32_bits(F.col("turn")) % 2), "sample"
     )
 
-    def distinct_words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = [
-            (label, word)
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist())
-            for word in set(text_words(text))
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: tuple[list, list] = ([], [])
+        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+            found[label].append(strings(joined(text_words(text))))
+        none = np.zeros(0, np.int64)
+        ordinary, toxic = (np.unique(np.concatenate([none, *f]), return_counts=True) for f in found)
+        columns = [
+            np.concatenate([ordinary[0], toxic[0]]),
+            np.concatenate([np.zeros_like(ordinary[1]), toxic[1]]),
+            np.concatenate([ordinary[1], np.zeros_like(toxic[1])]),
         ]
-        columns = list(zip(*pairs)) or [(), ()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], ["label", "word"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["string", "a", "b"])
+
+    def distinct_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = [word for text in batch.column("text").to_pylist() for word in set(text_words(text))]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], ["word"])
 
     first = sample.filter("half = 0")
     size = {r["label"]: r["count"] for r in first.groupBy("label").count().collect()}
     if len(size) < 2:
         return nothing
     counts = stored(
-        map_arrow(first.select("label", "text"), distinct_words, "label int, word binary")
-        .groupBy("word")
-        .agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+        map_arrow(first.select("label", "text"), counted, "string bigint, a bigint, b bigint")
+        .groupBy("string")
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .filter(f"a + b >= {_LEAST_ROWS}")
-        .withColumn("g2", F.expr(_g2("a", f"{size[1]}D", "b", f"{size[0]}D"))),
+        .withColumn("g2", F.expr(_g2("a", f"{size[1]}D", "b", f"{size[0]}D")))
+        .filter(F.abs("g2") >= LEAST_G2),
         "counts",
     )
-    largest = counts.agg(F.max("g2").alias("toxic"), F.max(-F.col("g2")).alias("ordinary")).first()
     typical = {}
-    for side, sign in (("toxic", 1), ("ordinary", -1)):
-        least = max(LEAST_G2, PART_OF_LARGEST * (largest[side] or 0))
-        top = counts.filter(sign * F.col("g2") >= least).orderBy((sign * F.col("g2")).desc(), "word")
-        typical[side] = [bytes(r["word"]) for r in top.select("word").limit(TYPICAL_BYTES // 2).collect()]
-    if not typical["toxic"]:
+    for label, sign in ((1, 1), (0, -1)):
+        top = counts.filter(sign * F.col("g2") > 0).orderBy((sign * F.col("g2")).desc(), "string")
+        # No more strings than start in a dictionary's typical bytes.
+        best = {r["string"]: abs(r["g2"]) for r in top.limit(len(STRINGS) * TYPICAL_BYTES).collect()}
+        typical[label] = dict(sorted(best.items()))
+    if not typical[1]:
         return nothing
-    skip = set(typical["toxic"]) | set(typical["ordinary"])
-    often = counts.orderBy((F.col("a") + F.col("b")).desc(), "word").select("word")
-    common = [w for r in often.limit(COMMON_BYTES).collect() if (w := bytes(r["word"])) not in skip]
+    known_strings = {label: np.fromiter(best, np.int64, len(best)) for label, best in typical.items()}
+    known_g2 = {label: np.fromiter(best.values(), float, len(best)) for label, best in typical.items()}
+
+    def typical_passages(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [
+            (label, passage, float(known_g2[label][np.isin(known_strings[label], strings(passage))].max(initial=0)))
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist())
+            for passage in passages(joined(text_words(text)), known_strings[label])
+        ]
+        columns = list(zip(*found)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.float64()))], ["label", "passage", "best"]
+        )
 
-    def content(words: list[bytes], most: int) -> bytes:
-        joined = b" ".join([b"", *reversed(words), b""])  # what matters most comes last, nearest to the window
-        return joined[-most:] if len(joined) > most else joined
+    taken = stored(
+        map_arrow(first.select("label", "text"), typical_passages, "label int, passage binary, best double")
+        .groupBy("label", "passage")
+        .agg((F.count(F.lit(1)) * F.max("best")).alias("weight")),
+        "passages",
+    )
 
-    shared = content(common, COMMON_BYTES)
-    ends = [content(typical[side], TYPICAL_BYTES) for side in ("toxic", "ordinary")]
+    def content(parts: list[bytes], gap: bytes) -> bytes:
+        return gap.join([b"", *reversed(parts), b""])  # what matters most comes last, nearest to the window
+
+    def trained(label: int) -> bytes:
+        """The weightiest passages, each with a string that those before it lack."""
+        top = taken.filter(F.col("label") == label).orderBy(F.col("weight").desc(), "passage").limit(TYPICAL_BYTES)
+        chosen_passages, held, length = [], set(), 1
+        for passage in (bytes(r["passage"]) for r in top.collect()):
+            new = typical[label].keys() & set(strings(passage).tolist())
+            if new - held and length + len(passage) + 1 <= TYPICAL_BYTES:
+                chosen_passages.append(passage)
+                held |= new
+                length += len(passage) + 1
+        return content(chosen_passages, b"\0")
+
+    ends = [trained(label) for label in (1, 0)]
+    every_typical = typical[0].keys() | typical[1].keys()
+    often = map_arrow(first.select("text"), distinct_words, "word binary").groupBy("word").count()
+    often = often.filter(f"count >= {_LEAST_ROWS}").orderBy(F.col("count").desc(), "word").limit(COMMON_BYTES)
+    common = [bytes(r["word"]) for r in often.collect()]
+    shared = content([w for w in common if every_typical.isdisjoint(strings(joined([w])).tolist())], b" ")[-COMMON_BYTES:]
 
     def built(extra: bytes) -> Model:
         wide = max(map(len, ends))
@@ -229,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         return Model(*contents, (0.0, 0.0), (flat, 0.0, 0.0))
 
     model = built(b"")
-    wrong = _mistaken(first.filter("label = 0"), model).groupBy("window").count()
+    wrong = _mistaken(first.filter("label = 0"), model, known_strings[1]).groupBy("window").count()
     wrong = wrong.orderBy(F.col("count").desc(), "window").limit(MISTAKEN_WINDOWS).collect()
     model = built(b"".join(bytes(r["window"]) for r in wrong))
     toxic, ordinary = model.toxic, model.ordinary

@@ -92,3 +92,13 @@ def test_query(spark):
     assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert sum(r["predicted"] == r["toxic"] for r in known) >= 0.85 * len(known)
     assert got.filter(F.col("score").isNull() | F.col("held_out").isNull()).count() == 0
+
+
+def test_recall_per_language(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    langs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    known = op5_toxicity(spark, sf_dir).join(labels, "doc_id").join(langs, "doc_id").filter("held_out")
+    share = known.groupBy("lang", "toxic").agg(F.avg("predicted").alias("share")).collect()
+    found = {(r["lang"], r["toxic"]): r["share"] for r in share}
+    assert all(found[lang, 1] >= 0.6 and found[lang, 0] <= 0.1 for lang in ("en", "fr", "de", "es"))
