@@ -94,6 +94,30 @@ def test_query(spark):
     assert got.filter(F.col("score").isNull() | F.col("held_out").isNull()).count() == 0
 
 
+def test_parts_of_words_and_strings_over_words(spark):
+    rnd = random.Random(5)
+    syllables = "ba ke lo mi nu ra se ti vo wu".split()
+    rows = []
+    for i in range(1200):
+        words = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(2, 4))) for _ in range(60)]
+        words += ["oh", "my", "so", "bad"]  # ordinary alone
+        rnd.shuffle(words)
+        toxic = i % 4 == 0
+        if toxic:
+            at = rnd.randrange(len(words))
+            stem = "grimfolk" + "".join(rnd.choice(syllables) for _ in range(3))
+            words[at:at] = ["oh", "my", "so", "bad"] if i % 8 else [stem, *words[:2], stem + "ra"]
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 3], "doc_id bigint, label int")
+    got = {r["doc_id"]: r["score"] for r in tx.score(docs, tx.fit(docs, labels), ["doc_id"]).select("doc.doc_id", "score").collect()}
+    held = [i for i, _, _ in rows if i % 3 == 0]
+    for chosen in ([i for i in held if i % 8 == 0], [i for i in held if i % 8 == 4]):
+        assert sum(got[i] >= 0.3 for i in chosen) >= 0.9 * len(chosen)
+    plain = [i for i in held if i % 4]
+    assert sum(got[i] >= 0.3 for i in plain) <= 0.1 * len(plain)
+
+
 def test_recall_per_language(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
