@@ -1,9 +1,11 @@
 """Secret scans: patterns, and sliding-window Shannon entropy per character class.
 
-Candidate strings are runs of one character class (hexadecimal digits, or the base-64 alphabet). A window slides over
+Candidate strings are runs of one character class (hexadecimal digits, the base-64 alphabet, digits with small letters or
+with capitals, letters of two cases or, with the highest bar, of one). A window slides over
 each run; its entropy follows from the counts of its characters, which change by one character in and one out per step.
 Windows above the class's threshold are joined to spans. Spans that an allow-list pattern covers (identifiers, digests,
-placeholders) are suppressed, and so are those that touch a span of a pattern, which is reported anyway.
+placeholders, alphabets) are suppressed. What earlier spans cover is cut out of a span; what is left counts if it is
+suspicious by itself.
 
 Every text is scanned whole, in one pass without a shuffle. Defined results: a NULL or empty text has no spans; repeated
 rows give repeated results; an empty table gives no rows; columns of any name are carried in the struct ``doc``.
@@ -60,12 +62,35 @@ CLASSES = (
         3.6,
         (re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")),
     ),
+    CharacterClass(
+        "entropy_base36",
+        re.compile(r"(?<![0-9a-z])[0-9a-z]{20,}"),
+        20,
+        3.5,
+        (re.compile(r"[0-9]"), re.compile(r"[a-z]")),
+    ),
+    CharacterClass(
+        "entropy_base32",
+        re.compile(r"(?<![0-9A-Z])[0-9A-Z]{16,}"),
+        16,
+        3.2,
+        (re.compile(r"[0-9]"), re.compile(r"(?:[A-Z][^A-Z]*+){4}")),
+    ),
+    CharacterClass(
+        "entropy_letters",
+        re.compile(r"(?<![A-Za-z])[A-Za-z]{24,}"),
+        24,
+        3.9,
+        (re.compile(r"(?:[A-Z][^A-Z]*+){7}"), re.compile(r"(?:[a-z][^a-z]*+){7}")),
+    ),
+    CharacterClass("entropy_one_case", re.compile(r"(?<![A-Za-z])(?:[a-z]{32,}|[A-Z]{32,})"), 32, 4.0),
 )
 #: Strings that look random and are no secrets.
 ALLOWED = (
     re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
     re.compile(r"\b(?:md5|sha(?:1|224|256|384|512))[:=-][A-Za-z0-9+/=]+", re.IGNORECASE),
     re.compile(r"[A-Za-z0-9+/_=-]*(?:EXAMPLE|example)[A-Za-z0-9+/_=-]*"),
+    re.compile(r"[A-Za-z]*(?:ABCDEFGH|abcdefgh)[A-Za-z]*"),
 )
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
@@ -123,21 +148,40 @@ def entropy_spans(text: str, cls: CharacterClass) -> list[Span]:
     return found
 
 
+def _left(start: int, end: int, taken: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that the sorted spans in ``taken`` leave."""
+    for a, b in taken:
+        if a < end and start < b:
+            if start < a:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
 def all_spans(
     text: str, classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[re.Pattern] = ALLOWED
 ) -> list[Span]:
-    """Base spans, and entropy spans that neither touch an earlier span nor lie in an allowed string; in order."""
+    """Base spans, and what they and earlier classes leave of entropy spans that no allowed string holds; in order."""
     found = base_spans(text)
     for cls in classes:
         spans = entropy_spans(text, cls)
         if not spans:
             continue
         known = [m.span() for p in allowed for m in p.finditer(text)]
-        found += [
-            (a, b, kind)
-            for a, b, kind in spans
-            if not any(a < y and x < b for x, y, _ in found) and not any(x <= a and b <= y for x, y in known)
-        ]
+        taken = sorted((x, y) for x, y, _ in found)
+        for a, b, _ in spans:
+            if any(x <= a and b <= y for x, y in known):
+                continue
+            for start, end in _left(a, b, taken):
+                if (start, end) == (a, b):
+                    found.append((a, b, cls.kind))
+                else:
+                    found += [
+                        (start + x, start + y, kind)
+                        for x, y, kind in entropy_spans(text[start:end], cls)
+                        if not any(k <= start + x and start + y <= m for k, m in known)
+                    ]
     return sorted(found, key=lambda s: (s[0], _ORDER[s[2]]))
 
 

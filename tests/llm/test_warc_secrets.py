@@ -147,3 +147,21 @@ def test_spans_and_allow_list(docs, rows):
     assert "entropy_base64" in kinds(TEXTS[8])
     assert "entropy_hex" not in kinds(TEXTS[4])  # they touch a pattern's span
     assert scan(docs.limit(0)).count() == 0
+
+
+def test_secrets_of_every_alphabet():
+    small = "k7x2m9q4v1z8w3n6t5r0p2j8"
+    seed = "JBSWY3DPEHPK3PXP"
+    mixed = "qRtZkLmWxYpNvBcDsFgHjKaQwErT"
+    one_case = "qzjxkvbwmpgyfdhctrlnsioaeuqkzjxw"
+    for secret, kind in ((small, "base36"), (seed, "base32"), (mixed, "letters"), (one_case, "one_case")):
+        assert ss.all_spans(f"see {secret}, and") == [(4, 4 + len(secret), f"entropy_{kind}")]
+    plain = "Donaudampfschifffahrtsgesellschaftskapitän getElementByTheNameFromDocument incomprehensibilities ROOM12"
+    assert ss.all_spans(plain) == []
+
+
+def test_known_spans_are_cut_out():
+    first, second = "0123456789abcdef01234567", "aB3dE6gH9jK2mN5pQ8sTvW4xYz7RtU"
+    assert ss.all_spans(f"{first}_{second}") == [(0, 24, "hex"), (24, 55, "entropy_base64")]
+    assert ss.all_spans(f"{second}/{first}") == [(0, 31, "entropy_base64"), (31, 55, "hex")]
+    assert ss.all_spans(f"{first}_aB3") == [(0, 24, "hex")]
