@@ -14,6 +14,8 @@ windows of the same owner hash, and consecutive windows of one owner form a run,
    Both follow from one aggregation with partial sums, so a passage in a third of all documents is a few rows per task.
 3. Where contents differ, one run of each is fetched, split once more by a second kind of owner, and sent to the task of
    its pair of owner hashes. There suffixes are sorted, batch by batch; contents that occur twice repeat as wholes.
+   A pair with more than ``CROWDED`` runs goes to no single task: each of its windows becomes a row with its hash, and
+   hashes are counted with partial sums.
 4. The repeated stretches of each document are merged and cut out.
 
 Hashes have 64 bits; contents are told apart by owner and content hash, 128 bits together. Defined results: NULL texts are
@@ -43,6 +45,8 @@ _TIMES = (
     (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)),
     (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)),
 )
+#: Runs of one pair of owners from which on their windows are counted instead of sorted in one task.
+CROWDED = 20_000
 #: Bytes of runs sorted together.
 _BATCH = 8_000_000
 
@@ -319,6 +323,46 @@ def _sorted(contexts: DataFrame, length: int) -> DataFrame:
     )
 
 
+def _counted(contexts: DataFrame, length: int) -> DataFrame:
+    """The same as ``_sorted`` by counting windows, with no group in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "run"):
+                ns = part.column("n").to_numpy()
+                hashes = [
+                    xxhash.xxh3_64_intdigest(view[k : k + length])
+                    for data, n in zip(part.column("run").to_pylist(), ns.tolist())
+                    for view in (memoryview(data),)
+                    for k in range(n)
+                ]
+                at = np.repeat(part.column("at").to_numpy(), ns)
+                place = at + np.arange(len(at)) - np.repeat(np.cumsum(ns) - ns, ns)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[pa.array(np.repeat(part.column(c).to_numpy(), ns)) for c in ("owner", "second", "content")],
+                        pa.array(place.astype(np.int32)),
+                        pa.array(np.array(hashes, np.uint64).view(np.int64)),
+                    ],
+                    ["owner", "second", "content", "place", "window"],
+                )
+
+    keys = ["owner", "second", "window"]
+    single = contexts.dropDuplicates(["owner", "content", "at"]).select("owner", "second", "content", "at", "n", "run")
+    schema = "owner bigint, second bigint, content bigint, place int, window bigint"
+    every = stored(single.mapInArrow(run, schema), "windows")
+    twice = stored(every.groupBy(keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "twice")
+    found = lookup(every, twice.select(keys), keys, "inner", hot=_hot(twice, keys))
+    return (
+        found.groupBy("owner", "content")
+        .agg(F.array_sort(F.collect_set("place")).alias("places"))
+        .select("owner", "content", F.posexplode("places").alias("turn", "place"))
+        .groupBy("owner", "content", F.col("place") - F.col("turn"))
+        .agg(F.min("place").alias("first"), F.max("place").alias("last"))
+        .select("owner", "content", "first", "last")
+    )
+
+
 def _hot(counted: DataFrame, keys: list[str]) -> list[int]:
     """Hashes of the keys with too many rows for one task, from rows with their number ``rows``."""
     total = counted.agg(F.sum("rows")).first()[0] or 0
@@ -358,9 +402,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry_text: bool = Fal
     )
     chosen = contents.groupBy("doc").agg(F.collect_list(F.struct("owner", "content")).alias("chosen"))
     contexts = stored(_contexts(rows, chosen, length), "contexts")
+    pair = ["owner", "second"]
+    crowded = stored(
+        contexts.groupBy(pair).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > CROWDED), "crowded"
+    )
+    found = _sorted(contexts, length)
+    if crowded.head(1):
+        marked = stored(
+            lookup(
+                contexts, crowded.select(*pair, F.lit(True).alias("crowded")), pair, "left", hot=_hot(crowded, pair)
+            ),
+            "marked",
+        )
+        found = _sorted(marked.filter("crowded IS NULL").drop("crowded"), length).unionByName(
+            _counted(marked.filter("crowded"), length)
+        )
     stretches = (
-        _sorted(contexts, length)
-        .groupBy("owner", "content")
+        found.groupBy("owner", "content")
         .agg(F.collect_list(F.struct("first", "last")).alias("stretches"))
     )
     judged = contents.join(stretches, ["owner", "content"], "left").select(

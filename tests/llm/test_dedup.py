@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from corpus_texts import ITEM, PASSAGE, edited, words
+from pyspark.sql import functions as F
 
 from driftmap.llm import near_dedup as nd
 from driftmap.llm import suffix_dedup as sd
@@ -228,3 +229,22 @@ def test_owners_are_the_same_for_equal_windows():
         assert len(per_window) == len(data) - 199
         owner_of.append(per_window[len(side) : len(side) + 501])
     assert (owner_of[0] == owner_of[1]).all()
+
+
+@pytest.mark.parametrize("length", [40, 200])
+def test_crowded_owners_are_counted(spark, docs, rows, length, monkeypatch):
+    monkeypatch.setattr(sd, "CROWDED", 2, raising=False)
+    largest, was = [], sd._sorted
+
+    def watched(contexts, length):
+        pairs = contexts.groupBy("owner", "second").count()
+        largest.append(pairs.agg(F.max("count")).first()[0] or 0)
+        return was(contexts, length)
+
+    monkeypatch.setattr(sd, "_sorted", watched)
+    rnd = random.Random(6)
+    more = [(200 + i, f"{rnd.random()} {rnd.random()} " * 8 + PASSAGE[:150] + f" {rnd.random()}" * 16) for i in range(40)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    got = Counter(map(tuple, remove_repeats(table, length).collect()))
+    assert got == brute_repeats([*rows, *more], length)
+    assert largest[-1] <= 2
