@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftmap.llm.common import table
 from driftmap.llm.decontaminate import contamination
+from driftmap.llm.fill_middle import fill_in_middle, restored
 from driftmap.llm.mixing import plan_mix
 from driftmap.llm.near_dedup import near_duplicates
 from driftmap.llm.secret_scan import listed, scan
@@ -231,6 +232,37 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=200)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rearranged to fill in their middle, and rebuilt."""
+    moved = fill_in_middle(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    rebuilt = restored(moved.withColumn("output_sha256", digest("output")))
+    return rebuilt.select(
+        "doc.doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", digest("restored").alias("restored_sha256")
+    )
+
+
+_OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (
+  SELECT *, list_transform([1, 9, 17, 25], lambda p: CAST('0x' || substr(h, p, 8) AS BIGINT)) AS w FROM d),
+f AS (
+  SELECT doc_id, t, n, least(w[1] % (n + 1), w[2] % (n + 1)) AS a, greatest(w[1] % (n + 1), w[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR w[3] % 100 >= 90 THEN 'plain'
+              WHEN w[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+o AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM o
+"""
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
@@ -242,6 +274,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_top_k": op9_top_k,
     "op10_remove_repeats": op10_remove_repeats,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 ORACLES = {
@@ -249,4 +282,5 @@ ORACLES = {
     "op2_warc": _OP2_SQL,
     "op8_decontaminate": _OP8_SQL,
     "op9_top_k": _OP9_SQL,
+    "op11_fill_middle": _OP11_SQL,
 }
