@@ -17,6 +17,7 @@ from driftmap.llm.suffix_dedup import remove_repeats
 from driftmap.llm.token_files import read_tokens, write_tokens
 from driftmap.llm.topk import scaled, top_k
 from driftmap.llm.toxicity import fit, score
+from driftmap.llm.vector_codes import code_vectors, whole_numbers
 from driftmap.llm.warc import read_archives, write_archives
 from driftmap.operators.scale import scratch_path
 
@@ -263,6 +264,55 @@ FROM o
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as four codes of one byte, with their errors."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), "label", whole_numbers(F.col("embedding")).alias("vector")
+    )
+    coded = code_vectors(vectors, parts=4, entries=256, rounds=4)
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+_OP12_SQL = (
+    """
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT vec_id, label, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4]::DOUBLE[] AS x
+  FROM k, (SELECT unnest(range(0, 4)) AS part)),
+b0 AS (
+  SELECT part, e, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e FROM p)
+  WHERE e < 256),"""
+    + "".join(
+        f"""
+a{i} AS (
+  SELECT vec_id, any_value(label) AS label, part, any_value(p.x) AS x,
+         min(struct_pack(d := list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, b{i}.x)
+                                + list_dot_product(b{i}.x, b{i}.x), e := e)) AS best
+  FROM p JOIN b{i} USING (part) GROUP BY vec_id, part),"""
+        + f"""
+s{i} AS (
+  SELECT part, e, list(mean ORDER BY place) AS x FROM (
+    SELECT part, best.e AS e, place, floor(sum(value) / count(*)) AS mean
+    FROM (SELECT part, best, unnest(x) AS value, unnest(range(0, len(x))) AS place FROM a{i}) GROUP BY ALL)
+  GROUP BY part, e),
+b{i + 1} AS (SELECT part, e, coalesce(s{i}.x, b{i}.x) AS x FROM b{i} LEFT JOIN s{i} USING (part, e)),"""
+        * (i < 4)
+        for i in range(5)
+    )
+    + """
+h AS (
+  SELECT sha256(string_agg(value::BIGINT::VARCHAR, ',' ORDER BY part, e, place)) AS codebooks_sha256
+  FROM (SELECT part, e, unnest(x) AS value, unnest(range(0, len(x))) AS place FROM b4)),
+c AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code,
+         sum(best.d)::BIGINT AS error FROM a4 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c, h
+"""
+)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
@@ -275,6 +325,7 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_remove_repeats": op10_remove_repeats,
     "op11_fill_middle": op11_fill_middle,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLES = {
@@ -283,4 +334,5 @@ ORACLES = {
     "op8_decontaminate": _OP8_SQL,
     "op9_top_k": _OP9_SQL,
     "op11_fill_middle": _OP11_SQL,
+    "op12_vector_codes": _OP12_SQL,
 }
