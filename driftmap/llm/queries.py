@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftmap.llm.common import table
 from driftmap.llm.decontaminate import contamination
+from driftmap.llm.embedding_dedup import near_vectors
 from driftmap.llm.fill_middle import fill_in_middle, restored
 from driftmap.llm.mixing import plan_mix
 from driftmap.llm.near_dedup import near_duplicates
@@ -313,6 +314,31 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 )
 
 
+def op13_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of one label with a cosine of 0.93 or more."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    groups = near_vectors(vectors, threshold=0.93)
+    return groups.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+_OP13_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT a AS id, b AS other FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a),
+c AS (SELECT id AS vec_id, min(other) AS low FROM r GROUP BY id)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, low) AS component_id,
+       vec_id = least(vec_id, low) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
@@ -326,6 +352,7 @@ QUERIES = {
     "op10_remove_repeats": op10_remove_repeats,
     "op11_fill_middle": op11_fill_middle,
     "op12_vector_codes": op12_vector_codes,
+    "op13_embedding_duplicates": op13_embedding_duplicates,
 }
 
 ORACLES = {
@@ -335,4 +362,5 @@ ORACLES = {
     "op9_top_k": _OP9_SQL,
     "op11_fill_middle": _OP11_SQL,
     "op12_vector_codes": _OP12_SQL,
+    "op13_embedding_duplicates": _OP13_SQL,
 }
