@@ -83,6 +83,19 @@ def stored_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(drift(spark, sf_dir))
 
 
+ROUNDED_DRIFT_SQL = (
+    DRIFT_SQL
+    + """, steady AS (SELECT url, fetchDate, round(cosine_distance, 9) + 0.0 AS cosine_distance, euclidean_distance,
+  content_length_difference, internal_link_count_difference, external_link_count_difference FROM drift)
+"""
+)
+
+
+def steady_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift table with cosine distances freed of rounding noise, which differs between engines."""
+    return stored_drift(spark, sf_dir).withColumn("cosine_distance", rounded("cosine_distance", 9))
+
+
 # --- sources and sinks ------------------------------------------------------------------------------------------------
 
 
@@ -244,11 +257,13 @@ def _(spark, sf_dir):
 
 @query(
     "changed_only",
-    f"WITH {DRIFT_SQL} SELECT url, fetchDate, {', '.join(DIFFERENCES)} FROM drift WHERE "
-    + " OR ".join(f"{c} <> 0" for c in DIFFERENCES),
+    f"""WITH {ROUNDED_DRIFT_SQL} SELECT url, fetchDate, {', '.join(DIFFERENCES)}, round(cosine_distance, 6) + 0.0 AS cosine_distance,
+        round(euclidean_distance, 6) + 0.0 AS euclidean_distance FROM steady WHERE """
+    + " OR ".join(f"{c} <> 0" for c in MEASURES),
 )
 def _(spark, sf_dir):
-    return relational.changed_only(drift(spark, sf_dir), DIFFERENCES).select("url", "fetchDate", *DIFFERENCES)
+    changed = relational.changed_only(steady_drift(spark, sf_dir), MEASURES)
+    return changed.select("url", "fetchDate", *DIFFERENCES, *[rounded(c) for c in MEASURES[:2]])
 
 
 @query(
@@ -507,16 +522,13 @@ def _(spark, sf_dir):
     return profile.zero_counts(drift(spark, sf_dir), MEASURES, atol=1e-9)
 
 
-_SHARED = ("euclidean_distance", *DIFFERENCES)
-
-
 @query(
     "zero_share",
-    f"WITH {DRIFT_SQL} "
-    + _each("SELECT '{c}' AS \"column\", round(100 * avg(CASE WHEN {c} = 0 THEN 1 ELSE 0 END), 1) AS zero_pct FROM drift", _SHARED),
+    f"WITH {ROUNDED_DRIFT_SQL} "
+    + _each("SELECT '{c}' AS \"column\", round(100 * avg(CASE WHEN {c} = 0 THEN 1 ELSE 0 END), 1) AS zero_pct FROM steady"),
 )
 def _(spark, sf_dir):
-    return profile.zero_share(drift(spark, sf_dir), _SHARED)
+    return profile.zero_share(steady_drift(spark, sf_dir), MEASURES)
 
 
 @query(
@@ -563,9 +575,14 @@ def _(spark, sf_dir):
     return _stats(table(spark, sf_dir, "lineitem"), _LINE_COLUMNS)
 
 
-@query("drift_summary", f"WITH {DRIFT_SQL} " + _each(_STATS_SQL + "drift", DIFFERENCES))
+@query(
+    "drift_summary",
+    f"WITH {ROUNDED_DRIFT_SQL} SELECT * REPLACE (round(min, 4) + 0.0 AS min, round(max, 4) + 0.0 AS max) FROM ("
+    + _each(_STATS_SQL + "steady")
+    + ")",
+)
 def _(spark, sf_dir):
-    return _stats(stored_drift(spark, sf_dir), DIFFERENCES)
+    return _stats(cut(steady_drift(spark, sf_dir)), MEASURES).withColumns({c: rounded(c, 4) for c in ("min", "max")})
 
 
 def _histogram_sql(source: str, col: str, n: int) -> str:
@@ -591,27 +608,14 @@ def _(spark, sf_dir):
     return _bins(profile.histogram(stored_drift(spark, sf_dir), "euclidean_distance"))
 
 
-_ROUNDED_DRIFT_SQL = (
-    DRIFT_SQL
-    + """, steady AS (SELECT url, fetchDate, round(cosine_distance, 9) + 0.0 AS cosine_distance, euclidean_distance,
-  content_length_difference, internal_link_count_difference, external_link_count_difference FROM drift)
-"""
-)
-
-
-def steady_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The drift table with cosine distances freed of rounding noise, which differs between engines."""
-    return stored_drift(spark, sf_dir).withColumn("cosine_distance", rounded("cosine_distance", 9))
-
-
-@query("cosine_histogram", f"WITH {_ROUNDED_DRIFT_SQL}, {_histogram_sql('steady', 'cosine_distance', 20)}")
+@query("cosine_histogram", f"WITH {ROUNDED_DRIFT_SQL}, {_histogram_sql('steady', 'cosine_distance', 20)}")
 def _(spark, sf_dir):
     return _bins(profile.histogram(steady_drift(spark, sf_dir), "cosine_distance"))
 
 
 @query(
     "cosine_histogram_non_negative",
-    f"WITH {_ROUNDED_DRIFT_SQL}, kept AS (SELECT * FROM steady WHERE cosine_distance >= 0), "
+    f"WITH {ROUNDED_DRIFT_SQL}, kept AS (SELECT * FROM steady WHERE cosine_distance >= 0), "
     + _histogram_sql("kept", "cosine_distance", 20),
 )
 def _(spark, sf_dir):
@@ -677,19 +681,15 @@ def _matrix(df: DataFrame) -> DataFrame:
     return df.select("a", "b", rounded("r"), "n", rounded("t", 4))
 
 
-@query("pearson_matrix", f"WITH {DRIFT_SQL} " + _matrix_sql("drift", _SHARED))
-def _(spark, sf_dir):
-    return _matrix(correlation_matrix(drift(spark, sf_dir), _SHARED))
-
-
-@query("drift_pearson", f"WITH {_ROUNDED_DRIFT_SQL} " + _matrix_sql("steady", MEASURES))
+@query("pearson_matrix", f"WITH {ROUNDED_DRIFT_SQL} " + _matrix_sql("steady", MEASURES))
+@query("drift_pearson", f"WITH {ROUNDED_DRIFT_SQL} " + _matrix_sql("steady", MEASURES))
 def _(spark, sf_dir):
     return _matrix(correlation_matrix(steady_drift(spark, sf_dir), MEASURES))
 
 
 @query(
     "drift_spearman",
-    f"WITH {_ROUNDED_DRIFT_SQL}, r AS (SELECT * REPLACE (round(euclidean_distance, 9) AS euclidean_distance) FROM steady) "
+    f"WITH {ROUNDED_DRIFT_SQL}, r AS (SELECT * REPLACE (round(euclidean_distance, 9) AS euclidean_distance) FROM steady) "
     + f"SELECT a, b, r, n FROM ({_matrix_sql('r', MEASURES, rank=True)})",
 )
 def _(spark, sf_dir):

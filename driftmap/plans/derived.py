@@ -7,7 +7,9 @@ have none), its links from the page's HTML. ``CRAWL_SQL`` states the same for th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,10 +67,16 @@ def relevant(snapshots: DataFrame) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as points: two fixed sums over all positions, of whole numbers, so that they are exact everywhere."""
+
+    def coordinate(weight: Callable[[Column], Column]) -> Column:
+        terms = F.transform("embedding", lambda v, i: F.floor(v.cast("double") * 65536) * weight(i.cast("bigint")))
+        return (F.aggregate(terms, F.lit(0).cast("bigint"), lambda s, t: s + t) / 1048576.0).cast("double")
+
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
-        F.col("embedding")[0].cast("double").alias("x"),
-        F.col("embedding")[1].cast("double").alias("y"),
+        coordinate(lambda i: (3 * i * i + i) % 7 - 3).alias("x"),
+        coordinate(lambda i: (5 * i + 2) % 9 - 4).alias("y"),
         F.col("label").alias("prediction"),
     )
 
@@ -128,7 +136,9 @@ drift AS (
 
 POINTS_SQL = """
 points AS (
-  SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label AS prediction
+  SELECT vec_id AS id, label AS prediction,
+         list_sum([floor(v::DOUBLE * 65536)::BIGINT * ((3 * (i - 1) * (i - 1) + (i - 1)) % 7 - 3) FOR v, i IN embedding])::DOUBLE / 1048576 AS x,
+         list_sum([floor(v::DOUBLE * 65536)::BIGINT * ((5 * (i - 1) + 2) % 9 - 4) FOR v, i IN embedding])::DOUBLE / 1048576 AS y
   FROM embeddings
 )
 """
