@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     rounds = []
     while size["rows"]:
         hooks = links.groupBy("a").agg(F.min("b").alias("low"))
-        hooks = _follow(hooks.select(F.col("a").alias("node"), F.least("a", "low").alias("component")), size["rows"])
+        hooks = follow(hooks.select(F.col("a").alias("node"), F.least("a", "low").alias("component")), size["rows"])
         rounds.append(hooks)
         for end in ("a", "b"):
             to = hooks.select(F.col("node").alias(end), F.col("component").alias("_to"))
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _follow(hooks: DataFrame, at_most: int) -> DataFrame:
+def follow(hooks: DataFrame, at_most: int) -> DataFrame:
     """Replace each hook by the end of its chain; every pass triples the steps taken."""
     while True:
         step = hooks.select(F.col("node").alias("component"), F.col("component").alias("_next"))

@@ -44,7 +44,7 @@ def _offsets(name: str) -> Column:
     return F.explode(F.sequence(F.lit(-2), F.lit(2))).alias(name)
 
 
-def _usable(points: DataFrame) -> DataFrame:
+def usable_points(points: DataFrame) -> DataFrame:
     """Points with two finite coordinates."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     return points.select("id", F.col("x").cast("double"), F.col("y").cast("double")).filter(
@@ -269,7 +269,7 @@ def _components(core: DataFrame, rows: int) -> DataFrame:
 
 
 def _one_level(points: DataFrame, eps: float) -> DataFrame:
-    return _usable(points).withColumns(
+    return usable_points(points).withColumns(
         {"g": F.lit(0), "r": F.lit(float(eps)), "link": F.lit(float(eps))}
     )
 
@@ -293,7 +293,7 @@ def sparse_neighbors(points: DataFrame, eps: float, min_samples: int) -> DataFra
     )
 
 
-def _ranked(labels: DataFrame, by: Sequence[str], points: DataFrame, rows: int) -> DataFrame:
+def numbered(labels: DataFrame, by: Sequence[str], points: DataFrame, rows: int) -> DataFrame:
     """Number the clusters from 0 in order of ``by``; points without one are noise."""
     order = global_rank(labels.select(*by).distinct(), by, "_place")
     placed = lookup(labels, order, by, "inner", at_most=rows)
@@ -319,7 +319,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
         .select(F.col("qid").alias("id"), "component")
     )
     labels = cut(core.select("id", "component").unionByName(border))
-    return _ranked(labels, ["component"], points, rows)
+    return numbered(labels, ["component"], points, rows)
 
 
 def _radii(points: DataFrame, min_samples: int, alpha: float, levels: int) -> list[float]:
@@ -369,7 +369,7 @@ def density_levels(
     lie within ``alpha`` times the radius. Components at one level are unions of those at the next.
     """
     steps = F.array(*[F.struct(F.lit(i).alias("g"), F.lit(float(r)).alias("r")) for i, r in enumerate(radii)])
-    levelled = _usable(points).select("id", "x", "y", F.inline(steps))
+    levelled = usable_points(points).select("id", "x", "y", F.inline(steps))
     levelled = levelled.withColumn("link", F.col("r") * float(alpha))
     flagged, rows = _core_flags(levelled, min_samples + 1)
     return cut(_components(flagged.filter("core").drop("cx", "cy"), rows).select("g", "id", "component"))
@@ -390,7 +390,7 @@ def density_tree(
     more of that size. Its stability is the sum over levels of its size times the gain in 1/radius; a cluster is kept
     if it is at least as stable as the best choice among its parts. The root, holding everything, is never kept.
     """
-    usable, seen = cut_counting(_usable(points))
+    usable, seen = cut_counting(usable_points(points))
     usable_rows = seen["rows"]
     radii = list(levels) if isinstance(levels, Sequence) else _radii(usable, min_samples, alpha, levels)
     members = density_levels(usable, radii, min_samples, alpha)
@@ -425,14 +425,14 @@ def density_tree(
     clusters = cut(clusters.filter(F.col("head.g") >= 0).join(named, "above", "left").drop("above"))
     if clusters.isEmpty():  # only the root, which is never kept
         return points.select("id", F.lit(NOISE).alias("prediction"))
-    kept = _excess_of_mass(clusters)
+    kept = excess_of_mass(clusters)
 
     in_kept = heads.join(kept, "head", "left_semi").select("node.g", "node.component", "head")
     held = lookup(members, cut(in_kept), ["g", "component"], "inner")
     # Of nested choices the outermost wins.
     labels = held.groupBy("id").agg(F.min("head").alias("head"))
     labels = cut(labels.select("id", F.col("head.component").alias("component"), F.col("head.g").alias("g")))
-    return _ranked(labels, ["component", "g"], points, usable_rows)
+    return numbered(labels, ["component", "g"], points, usable_rows)
 
 
 def _heads(tree: DataFrame) -> DataFrame:
@@ -447,30 +447,55 @@ def _heads(tree: DataFrame) -> DataFrame:
             return heads
 
 
-def _excess_of_mass(clusters: DataFrame) -> DataFrame:
+def excess_of_mass(clusters: DataFrame) -> DataFrame:
     """Heads of the clusters at least as stable as the best choice among the clusters inside them.
 
-    Solved from the leaves up, one round per depth of the cluster tree, which is at most the number of levels.
+    The best of a cluster is ``max(stability, sum of its parts' best)``. Parts that are known are added up; a cluster with one
+    unknown part depends on it by ``max(a, x + b)``, and such steps are composed by doubling, so that neither deep nor broad
+    trees take many rounds.
     """
-    open_ = clusters.select("head", "outer", "stability")
-    left = open_.count()
-    solved = None
-    while left:
-        # Inner sums exist for the clusters all of whose parts are solved.
-        waiting = open_.filter(F.col("outer").isNotNull()).select(F.col("outer").alias("head")).distinct()
-        ready = open_.join(waiting, "head", "left_anti")
-        if solved is not None:
-            inner = solved.groupBy(F.col("outer").alias("head")).agg(F.sum("best").alias("inner"))
-            ready = ready.join(inner, "head", "left")
-        else:
-            ready = ready.withColumn("inner", F.lit(None).cast("double"))
-        inside = F.coalesce("inner", F.lit(0.0))
-        done, seen = cut_counting(
-            ready.select(
-                "head", "outer", F.greatest("stability", inside).alias("best"), (F.col("stability") >= inside).alias("kept")
-            )
+    none = F.lit(None)
+    nodes, seen = cut_counting(
+        clusters.select(
+            "head", "outer", "stability", none.cast("double").alias("best"),
+            F.when(F.lit(False), F.col("head")).alias("on"), none.cast("double").alias("a"), none.cast("double").alias("b"),
+        )
+    )
+    rows = seen["rows"]
+    open_ = F.col("best").isNull()
+
+    def parts(nodes: DataFrame) -> DataFrame:
+        known = nodes.filter(F.col("outer").isNotNull()).groupBy(F.col("outer").alias("head"))
+        return known.agg(
+            F.count_if(open_).alias("waiting"), F.sum("best").alias("inside"), F.max(F.when(open_, F.col("head"))).alias("only")
         )
-        solved = done if solved is None else solved.unionByName(done)
-        left -= seen["rows"]
-        open_ = open_.join(done, "head", "left_anti")
-    return solved.filter("kept").select("head")
+
+    while True:
+        met = lookup(nodes, parts(nodes), ["head"], at_most=rows)
+        inside, waiting = F.coalesce("inside", F.lit(0.0)), F.coalesce("waiting", F.lit(0))
+        starts = open_ & (waiting == 1) & F.col("on").isNull()
+        begun = cut(
+            met.select(
+                "head", "outer", "stability",
+                F.when(open_ & (waiting == 0), F.greatest("stability", inside)).otherwise(F.col("best")).alias("best"),
+                *[F.when(starts, new).otherwise(F.col(c)).alias(c) for c, new in (("on", F.col("only")), ("a", F.col("stability")), ("b", inside))],
+            )
+        )
+        step = begun.select(F.col("head").alias("on"), *[F.col(c).alias(f"_{c}") for c in ("best", "on", "a", "b")])
+        met = lookup(begun, step, ["on"], at_most=rows)
+        further = F.col("_best").isNull() & F.col("_on").isNotNull()
+        nodes, seen = cut_counting(
+            met.select(
+                "head", "outer", "stability",
+                F.when(open_ & F.col("_best").isNotNull(), F.greatest(F.col("a"), F.col("_best") + F.col("b")))
+                .otherwise(F.col("best")).alias("best"),
+                F.when(further, F.col("_on")).otherwise(F.col("on")).alias("on"),
+                F.when(further, F.greatest(F.col("a"), F.col("_a") + F.col("b"))).otherwise(F.col("a")).alias("a"),
+                F.when(further, F.col("b") + F.col("_b")).otherwise(F.col("b")).alias("b"),
+            ),
+            open=open_,
+        )
+        if not seen["open"]:
+            break
+    final = lookup(nodes, parts(nodes), ["head"], at_most=rows)
+    return cut(final.filter(F.col("stability") >= F.coalesce("inside", F.lit(0.0))).select("head"))

@@ -20,7 +20,7 @@ from driftmap.functions.vectors import (
     to_features,
     with_vector,
 )
-from driftmap.operators import cluster, density, relational
+from driftmap.operators import cluster, density, hierarchy, relational
 from driftmap.operators.correlation import correlation_matrix
 from driftmap.operators.encoder import autoencode, autoencoder_fit, reconstruct, reconstruction_error
 from driftmap.operators.keywords import cluster_keywords, explode_tokens, token_counts
@@ -869,6 +869,23 @@ def _(spark, sf_dir):
     return density.density_levels(points(spark, sf_dir), _LEVELS, 5, 0.8)
 
 
+@query("density_hierarchy")
+def _(spark, sf_dir):
+    return hierarchy.density_hierarchy(points(spark, sf_dir), 20, 10, 0.4)
+
+
+@query(
+    "core_distances",
+    f"""WITH {POINTS_SQL},
+near AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist
+         FROM points a JOIN points b ON a.id <> b.id),
+placed AS (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist) AS place FROM near)
+SELECT id, round(dist, 9) AS core FROM placed WHERE place = 10""",
+)
+def _(spark, sf_dir):
+    return hierarchy.core_distances(points(spark, sf_dir), 10).select("id", rounded("core", 9))
+
+
 def _address_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered_urls(spark, sf_dir).select(
         F.col("page_id").alias("id"),

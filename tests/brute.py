@@ -94,3 +94,66 @@ def excess_of_mass(rows: set[tuple[int, int, int]], radii: list[float], size: in
         for i in big[k]:
             label[i] = place
     return label
+
+
+def reachability(xy: np.ndarray, min_samples: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Core distances, and the mutual reachability of all pairs."""
+    d = distances(xy)
+    core = np.sort(d, axis=1)[:, min_samples]
+    return core, np.maximum(np.maximum(core[:, None], core[None, :]), d / alpha)
+
+
+def hierarchy(xy: np.ndarray, size: int, min_samples: int, alpha: float) -> list[int]:
+    """Most stable clusters over the components at every single length, numbered by smallest point."""
+    core, reach = reachability(xy, min_samples, alpha)
+    rows, cols = np.triu_indices(len(xy), 1)
+    order = np.argsort(reach[rows, cols], kind="stable")
+    lengths = reach[rows, cols][order]
+    positive = np.concatenate([core, lengths])
+    shortest = positive[positive > 0].min()
+    gain = lambda w: 1 / max(w, shortest)
+    whole = [{i} for i in range(len(xy))]
+    owner = list(range(len(xy)))
+    nodes: dict[frozenset, dict] = {}  # components of at least `size` points with the length at which they arise
+    for start, end in zip(*(np.flatnonzero(np.diff(lengths, prepend=-1, append=np.inf))[k:][: None if k else -1] for k in (0, 1))):
+        grown = set()
+        for k in order[start:end].tolist():
+            a, b = owner[rows[k]], owner[cols[k]]
+            if a != b:
+                whole[a] |= whole[b]
+                for i in whole[b]:
+                    owner[i] = a
+                whole[b] = set()
+                grown.add(a)
+        for c in {owner[i] for a in grown for i in list(whole[a])[:1]}:
+            if len(whole[c]) >= size:
+                nodes[frozenset(whole[c])] = {"w": lengths[start]}
+
+    def children(members: frozenset) -> list[frozenset]:
+        inside = [m for m in nodes if m < members]
+        return [m for m in inside if not any(m < o for o in inside)]
+
+    def best(members: frozenset, born: float) -> tuple[float, list[frozenset]]:
+        """Stability of the cluster that begins with this component, and the best choice among it and its parts."""
+        mass, at, first = 0.0, members, members
+        while True:
+            parts = children(at)
+            if len(parts) != 1:
+                mass += len(at) * gain(nodes[at]["w"])
+                break
+            mass += (len(at) - len(parts[0])) * gain(nodes[at]["w"])
+            at = parts[0]
+        stability = mass - len(first) * born
+        below = [best(p, gain(nodes[at]["w"])) for p in parts]
+        inner, chosen = sum(b[0] for b in below), [c for b in below for c in b[1]]
+        return (stability, [first]) if stability >= inner else (inner, chosen)
+
+    at = max(nodes, key=len, default=None)
+    while at is not None and len(parts := children(at)) == 1:
+        at = parts[0]
+    chosen = [c for p in (children(at) if at else []) for c in best(p, gain(nodes[at]["w"]))[1]]
+    label = [-1] * len(xy)
+    for place, members in enumerate(sorted(chosen, key=min)):
+        for i in members:
+            label[i] = place
+    return label
