@@ -33,6 +33,7 @@ from driftmap.operators.density import core_points, dbscan, density_levels, dens
 from driftmap.operators.encoder import Encoder, autoencode, autoencoder_fit, reconstruct, reconstruction_error
 from driftmap.operators.hierarchy import core_distances, density_hierarchy, merge_tree, reachability_tree
 from driftmap.operators.keywords import cluster_keywords, explode_tokens, token_counts
+from driftmap.operators.neighbors import eps_neighbors, expand_neighbors
 from driftmap.operators.pairs import consecutive_pairs
 from driftmap.operators.profile import (
     changed_share,

@@ -26,7 +26,7 @@ from driftmap.operators.scale import cut, cut_counting, global_rank, hot_hashes,
 
 #: Cells are a little narrower than eps / sqrt(2), so that rounding does not put a cell's points out of reach; this
 #: holds for coordinates up to 1e9 times eps.
-_SHRINK = (1 - 1e-6) / math.sqrt(2)
+CELL_WIDTH = (1 - 1e-6) / math.sqrt(2)
 #: Two cells with at most this many pairs of points are compared point by point.
 _SMALL = 1024
 #: Parts into which the points of a hot cell are dealt; the few queries that reach it are copied to each.
@@ -54,7 +54,7 @@ def usable_points(points: DataFrame) -> DataFrame:
 
 def _cell_within_reach() -> Column:
     """Whether the cell ``cx, cy`` comes as close to the query as its radius, with room for rounding."""
-    side, zero = F.col("r") * _SHRINK, F.lit(0.0)
+    side, zero = F.col("r") * CELL_WIDTH, F.lit(0.0)
     gap = lambda c, q: F.greatest(F.col(c) * side - F.col(q), F.col(q) - (F.col(c) + 1) * side, zero)
     gx, gy = gap("cx", "qx"), gap("cy", "qy")
     return F.sqrt(gx * gx + gy * gy) <= F.col("r") * (1 + 1e-6)
@@ -99,7 +99,7 @@ def _core_flags(points: DataFrame, min_samples: int) -> tuple[DataFrame, int]:
 
     Returns the points, and how many there are.
     """
-    side = F.col("r") * _SHRINK
+    side = F.col("r") * CELL_WIDTH
     rows = points.count()
     placed = points.withColumns({"cx": _index("x", side), "cy": _index("y", side)})
     cells = placed.groupBy(*_CELL).agg(F.count("*").alias("_n"))
@@ -208,7 +208,7 @@ def _judge(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[str,
 
 
 def _sub_index(v: str, depth: int) -> Column:
-    return _index(v, F.col("link") * _SHRINK / 4**depth)
+    return _index(v, F.col("link") * CELL_WIDTH / 4**depth)
 
 
 def _at_depth(core: DataFrame, depth: int) -> DataFrame:
@@ -259,7 +259,7 @@ def _compare_points(pairs: DataFrame, core: DataFrame, depth: int, rows: int) ->
 
 def _components(core: DataFrame, rows: int) -> DataFrame:
     """Add ``component``, the smallest id among the core points connected to each core point at its level."""
-    side = F.col("link") * _SHRINK
+    side = F.col("link") * CELL_WIDTH
     placed = core.withColumns({"lx": _index("x", side), "ly": _index("y", side)})
     cells, links = _links(placed, rows)
     joined = connected_components(links)

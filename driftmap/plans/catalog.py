@@ -20,7 +20,7 @@ from driftmap.functions.vectors import (
     to_features,
     with_vector,
 )
-from driftmap.operators import cluster, density, hierarchy, relational
+from driftmap.operators import cluster, density, hierarchy, neighbors, relational
 from driftmap.operators.correlation import correlation_matrix
 from driftmap.operators.encoder import autoencode, autoencoder_fit, reconstruct, reconstruction_error
 from driftmap.operators.keywords import cluster_keywords, explode_tokens, token_counts
@@ -329,8 +329,20 @@ def _(spark, sf_dir):
     return density.core_points(points(spark, sf_dir), EPS, MIN_SAMPLES)
 
 
+@query("eps_neighbors", _NEAR_SQL + "SELECT id, other_id, round(dist, 6) AS dist FROM near WHERE id <> other_id")
+def _(spark, sf_dir):
+    placed = cut(points(spark, sf_dir))
+    found = neighbors.eps_neighbors(placed, EPS)
+    return neighbors.expand_neighbors(placed, found, EPS).select("id", "other_id", rounded("dist"))
+
+
+@query("neighbor_degrees", _NEAR_SQL + "SELECT id, count(*) - 1 AS degree FROM near GROUP BY id")
+def _(spark, sf_dir):
+    return neighbors.eps_neighbors(points(spark, sf_dir), EPS).degree
+
+
 @query(
-    "eps_neighbors",
+    "sparse_neighbors",
     _NEAR_SQL
     + """SELECT near.id, other_id, round(dist, 6) AS dist FROM near JOIN flags ON flags.id = near.id
          WHERE NOT core AND near.id <> other_id""",
