@@ -76,6 +76,7 @@ from driftmap.operators.relational import (
 from driftmap.operators.scale import clear_scratch
 from driftmap.operators.silhouette import silhouette_exact
 from driftmap.plans.drift import MEASURES, semantic_drift
+from driftmap.plans.history import add_week, drift_so_far, last_snapshots
 from driftmap.session import get_spark
 from driftmap.sources.crawl import flatten_crawl, read_crawl, read_points, read_relevant_urls
 from driftmap.sources.sinks import load_model, save_model, write_table

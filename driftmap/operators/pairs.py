@@ -20,12 +20,14 @@ def consecutive_pairs(
     hot_rows: int | None = None,
     hot: Sequence[int] | None = None,
     prefix: str = "previous_",
+    keep_first: bool = False,
 ) -> DataFrame:
     """Add ``previous_<col>`` from the row before in ``order`` (then ``tie``) within ``key``.
 
     Rows whose ``previous_<require>`` is NULL are left out (the first of each key, and successors of a row without that
     value); ``require`` defaults to the first of ``cols``. Keys with too many rows for one task are cut into ordered
     slices, each handed the last row of the slice before it. ``hot`` names such keys by hash if they are known.
+    With ``keep_first`` no row is left out.
     """
     keys = [key] if isinstance(key, str) else list(key)
     ordering = ([order] if isinstance(order, str) else list(order)) + list(tie)
@@ -40,7 +42,7 @@ def consecutive_pairs(
         )
     else:
         paired = _lag_in_key(df, keys, ordering, cols, prefix)
-    return paired.filter(F.col(required).isNotNull())
+    return paired if keep_first else paired.filter(F.col(required).isNotNull())
 
 
 def _lag_in_key(df: DataFrame, keys: list[str], order: list[str], cols: Sequence[str], prefix: str) -> DataFrame:

@@ -41,6 +41,7 @@ from driftmap.plans.derived import (
     table,
 )
 from driftmap.plans.drift import MEASURES, semantic_drift
+from driftmap.plans.history import add_week, drift_so_far
 from driftmap.sources.crawl import flatten_crawl, read_crawl, read_points, read_relevant_urls
 from driftmap.sources.sinks import load_model, save_model, write_table
 
@@ -474,6 +475,20 @@ def _(spark, sf_dir):
     )
 
 
+@query("drift_by_week", ORACLES["semantic_drift"])
+def _(spark, sf_dir):
+    """The same rows, from one week of the crawl after the other."""
+    stored = cut(crawl(spark, sf_dir))
+    urls = cut(relevant(stored))
+    path = scratch_path(spark, "history")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for row in stored.select("fetchDate").distinct().orderBy("fetchDate").collect():  # one a week
+        add_week(stored.filter(F.col("fetchDate") == row["fetchDate"]), path, row["fetchDate"], urls, buckets=buckets)
+    return drift_so_far(spark, path).select(
+        "url", "fetchDate", rounded("euclidean_distance"), rounded("cosine_distance"), *DIFFERENCES
+    )
+
+
 # --- counts and profiles ----------------------------------------------------------------------------------------------
 
 

@@ -26,23 +26,17 @@ MEASURES = (
 )
 
 
-def semantic_drift(
-    crawl: DataFrame, urls: DataFrame | None = None, clamp: bool = False, hot_rows: int | None = None
-) -> DataFrame:
-    """One row per page and crawl that has a predecessor, with two distances and three differences.
+#: What is compared between snapshots, and what orders snapshots of one date.
+COMPARED = ("vector", "contentLength", "internal", "external")
+TIE = ("contentLength", "internal", "external", "vector")
 
-    ``crawl`` is a flattened crawl (``url, semanticVector, fetchDate, contentLength, internalLinks, externalLinks``);
-    the vector may be text or an array. ``urls`` keeps listed pages only. Snapshots of a page with equal dates are
-    ordered by their other values, so the result does not depend on how the data is partitioned.
-    """
+
+def snapshots(crawl: DataFrame) -> DataFrame:
+    """``url, fetchDate`` and what is compared, of a flattened crawl; the vector may be text or an array."""
     vector = F.col("semanticVector")
     if isinstance(crawl.schema["semanticVector"].dataType, T.StringType):
         vector = parse_vector(vector)
-    # Parsed vectors and counts are a fraction of the text and the lists, and only they are shuffled.
-    known = crawl.filter(F.col("url").isNotNull())
-    # Counted before the join: this reads one column of the crawl.
-    hot = hot_hashes(known, ["url"], hot_rows)
-    snapshots = known.select(
+    return crawl.select(
         "url",
         "fetchDate",
         vector.alias("vector"),
@@ -50,16 +44,10 @@ def semantic_drift(
         link_count("internalLinks").alias("internal"),
         link_count("externalLinks").alias("external"),
     )
-    if urls is not None:
-        snapshots = keep_relevant(snapshots, urls)
-    pairs = consecutive_pairs(
-        snapshots,
-        key="url",
-        order="fetchDate",
-        cols=["vector", "contentLength", "internal", "external"],
-        tie=["contentLength", "internal", "external", "vector"],
-        hot=hot,
-    )
+
+
+def measures(pairs: DataFrame, clamp: bool = False) -> DataFrame:
+    """Distances and differences of snapshots paired with the one before."""
     return pairs.select(
         "url",
         "fetchDate",
@@ -69,3 +57,23 @@ def semantic_drift(
         abs_difference("previous_internal", "internal").cast("bigint").alias("internal_link_count_difference"),
         abs_difference("previous_external", "external").cast("bigint").alias("external_link_count_difference"),
     )
+
+
+def semantic_drift(
+    crawl: DataFrame, urls: DataFrame | None = None, clamp: bool = False, hot_rows: int | None = None
+) -> DataFrame:
+    """One row per page and crawl that has a predecessor, with two distances and three differences.
+
+    ``crawl`` is a flattened crawl (``url, semanticVector, fetchDate, contentLength, internalLinks, externalLinks``);
+    the vector may be text or an array. ``urls`` keeps listed pages only. Snapshots of a page with equal dates are
+    ordered by their other values, so the result does not depend on how the data is partitioned.
+    """
+    # Parsed vectors and counts are a fraction of the text and the lists, and only they are shuffled.
+    known = crawl.filter(F.col("url").isNotNull())
+    # Counted before the join: this reads one column of the crawl.
+    hot = hot_hashes(known, ["url"], hot_rows)
+    rows = snapshots(known)
+    if urls is not None:
+        rows = keep_relevant(rows, urls)
+    pairs = consecutive_pairs(rows, key="url", order="fetchDate", cols=COMPARED, tie=TIE, hot=hot)
+    return measures(pairs, clamp)
