@@ -28,6 +28,7 @@ from driftmap.operators.pairs import consecutive_pairs
 from driftmap.operators.reduce import explained_variance, optimal_k, pca_model, pca_project, project_2d, standardize
 from driftmap.operators.scale import cut, scratch_path
 from driftmap.operators.silhouette import silhouette_exact
+from driftmap.operators.splits import sweep_splits
 from driftmap.plans.derived import (
     CRAWL_SQL,
     DRIFT_SQL,
@@ -833,7 +834,7 @@ def _(spark, sf_dir):
 
 @query("sweep_bisecting")
 def _(spark, sf_dir):
-    return cluster.sweep_k(table(spark, sf_dir, "embeddings"), "bisecting", [2, 10, 50])
+    return sweep_splits(table(spark, sf_dir, "embeddings"), SWEEP)
 
 
 @query("sweep_gmm")
