@@ -16,9 +16,16 @@ from driftmap.operators.scale import lookup
 _RANKED_EARLY, _GROUP_PARTS = 1000, 64
 
 
-def keep_relevant(df: DataFrame, urls: DataFrame, key: str = "url", how: str = "left_semi") -> DataFrame:
-    """Keep rows whose ``key`` is listed. ``how="inner"`` repeats a row for every copy of its key in the list."""
-    return df.join(urls.select(key), key, how)
+def keep_relevant(
+    df: DataFrame, urls: DataFrame, key: str = "url", how: str = "left_semi", hot: Sequence[int] | None = None
+) -> DataFrame:
+    """Keep rows whose ``key`` is listed. ``how="inner"`` repeats a row for every copy of its key in the list.
+
+    Rows of keys with too many rows for one task stay where they are; ``hot`` names such keys by hash if they are known.
+    """
+    if how != "left_semi":
+        return df.join(urls.select(key), key, how)
+    return lookup(df, urls.select(key).distinct(), [key], how, hot=hot)
 
 
 def name_clusters(df: DataFrame, names: DataFrame) -> DataFrame:

@@ -74,6 +74,6 @@ def semantic_drift(
     hot = hot_hashes(known, ["url"], hot_rows)
     rows = snapshots(known)
     if urls is not None:
-        rows = keep_relevant(rows, urls)
+        rows = keep_relevant(rows, urls, hot=hot)
     pairs = consecutive_pairs(rows, key="url", order="fetchDate", cols=COMPARED, tie=TIE, hot=hot)
     return measures(pairs, clamp)
