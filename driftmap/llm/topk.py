@@ -1,10 +1,11 @@
 """Exact top-k search by inner product with a vector-approximation file.
 
-Every vector is kept twice: exact, and as quantised cells of one byte per component. Blocks of cells are scanned for a
+Every vector is kept twice: exact, and as quantised cells of one byte per component. Each dimension has cells of its own,
+between quantiles of its values, so a far value widens the last cell of one dimension only. Blocks of cells are scanned for a
 block of queries at a time; a cell's borders bound the score from below and above. A candidate whose upper bound is less
 than the k-th largest lower bound of its query cannot be among the k best and is left out. Exact vectors are then read in
-the order of upper bounds: first the k with the largest, then those whose upper bound reaches the k-th exact score found
-so far; when none is left, the result is certain. No recall is lost.
+the order of upper bounds, first the k with the largest and then twice as many a round, as long as a bound reaches the
+k-th exact score found so far; when none does, the result is certain. No recall is lost.
 
 Queries are a stated set, met in blocks by blocks of all rows; survivors are a few rows per query. Equal vectors give
 equal scores and ties go to smaller ids, so of a group of copies only the ``k + 1`` smallest ids (one may be the query)
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmap.operators.scale import cut, lookup
+from driftmap.operators.scale import cut, cut_counting, lookup
 
 
 def scaled(col: Column, factor: float = 64.0) -> Column:
@@ -36,17 +37,40 @@ def scaled(col: Column, factor: float = 64.0) -> Column:
     return F.when((F.size(col) > 0) & finite, whole)
 
 
-def _pack(rows: DataFrame, group: str, number: int, dtype: str, low: int, step: int) -> DataFrame:
-    """Blocks ``dim, <group>, ids, cells`` of at most a few thousand vectors as bytes."""
+def _borders(vectors: DataFrame, cells: int) -> np.ndarray:
+    """Where each cell of each dimension begins, and one past the last value; every cell of a dimension with few values has one.
+
+    Quantiles are approximate, which only makes cells more or less full: bounds hold for any borders.
+    """
+    steps = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    values = vectors.select(F.posexplode("vector").alias("pos", "value"))
+    rows = values.groupBy("pos").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.percentile_approx("value", steps, 10 * cells).alias("inner")
+    )
+    found = {r["pos"]: np.unique([r["low"], *r["inner"]]).tolist() + [r["high"] + 1] for r in rows.collect()}  # a row a dimension
+    borders = np.zeros((len(found), cells + 1), np.int64)
+    for pos, values in found.items():
+        borders[pos] = values + [values[-1]] * (cells + 1 - len(values))
+    return borders
+
+
+def _pack(rows: DataFrame, group: str, number: int, shared=None) -> DataFrame:
+    """Blocks ``dim, <group>, ids, cells`` of at most a few thousand vectors as bytes: cells within borders, or the numbers."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        matrix = (np.array(frame["vector"].tolist(), np.int64) - low) // step
+        matrix = np.array(frame["vector"].tolist(), np.int64)
+        if shared is not None:
+            cells = np.empty(matrix.shape, np.uint8)
+            for d in range(matrix.shape[1]):
+                ends = shared.value[d]
+                cells[:, d] = np.searchsorted(ends[: np.searchsorted(ends, ends[-1])], matrix[:, d], "right") - 1
+            matrix = cells
         return pd.DataFrame(
             {
                 "dim": [key[0]],
                 group: [key[1]],
                 "ids": [frame["id"].to_numpy(np.int64).tobytes()],
-                "cells": [matrix.astype(dtype).tobytes()],
+                "cells": [matrix.tobytes()],
             }
         )
 
@@ -54,32 +78,33 @@ def _pack(rows: DataFrame, group: str, number: int, dtype: str, low: int, step:
     return keyed.groupBy("dim", group).applyInPandas(run, f"dim int, {group} bigint, ids binary, cells binary")
 
 
-def _scan(k: int, low: int, step: int):
+def _scan(k: int, shared):
     """For each pair of blocks: the candidates of every query that may be among its k best, with bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in ("dim", "ids", "cells", "query_ids", "queries")}
-                ids = np.frombuffer(row["ids"], np.int64)
-                floors = low + step * np.frombuffer(row["cells"], np.uint8).reshape(len(ids), row["dim"]).astype(float)
+                ids, dim = np.frombuffer(row["ids"], np.int64), row["dim"]
+                cells = np.frombuffer(row["cells"], np.uint8).reshape(len(ids), dim)
+                borders = shared.value[:dim]
+                ends = [borders[np.arange(dim), cells].astype(float), (borders[np.arange(dim), cells.astype(int) + 1] - 1).astype(float)]
                 asked = np.frombuffer(row["query_ids"], np.int64)
-                queries = np.frombuffer(row["queries"], np.int64).reshape(len(asked), row["dim"]).astype(float)
-                base = queries @ floors.T
+                queries = np.frombuffer(row["queries"], np.int64).reshape(len(asked), dim).astype(float)
+                up, down = np.maximum(queries, 0), np.minimum(queries, 0)
                 # Sums of products are exact below 2**53; beyond, the bounds give way by more than the rounding.
-                room = np.abs(queries).sum(1) * np.abs(floors).max(initial=0) * 2.0**-48
+                room = np.abs(queries) @ np.maximum(np.abs(ends[0]), np.abs(ends[1])).T * 2.0**-48
                 room[room < 2.0**-2] = 0
-                lower = base + ((step - 1) * np.minimum(queries, 0).sum(1) - room)[:, None]
-                gap = (step - 1) * np.abs(queries).sum(1) + 2 * room
+                lower = up @ ends[0].T + down @ ends[1].T - room
+                upper = up @ ends[1].T + down @ ends[0].T + room
                 lower[asked[:, None] == ids[None, :]] = -np.inf
                 most = min(k, len(ids))
                 best = -np.partition(-lower, most - 1, axis=1)[:, :most]
-                kept, lows, highs, tops = [], [], [], []
+                kept, highs, tops = [], [], []
                 for q in range(len(asked)):
-                    here = np.flatnonzero((lower[q] + gap[q] >= best[q].min()) & (lower[q] > -np.inf))
+                    here = np.flatnonzero((upper[q] >= best[q].min()) & (lower[q] > -np.inf))
                     kept.append(ids[here])
-                    lows.append(np.floor(lower[q][here]).astype(np.int64))
-                    highs.append(np.ceil(lower[q][here] + gap[q]).astype(np.int64))
+                    highs.append(np.ceil(upper[q][here]).astype(np.int64))
                     top = best[q][best[q] > -np.inf]
                     tops.append(np.floor(top).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -122,16 +147,13 @@ def top_k(
         unique.withColumn("_n", F.row_number().over(copies)).filter(F.col("_n") <= k + 1).select("id", "vector")
     )
     queries = unique.filter(query)
-    seen = candidates.agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.array_min("vector")).alias("low"), F.max(F.array_max("vector")).alias("high")
-    ).first()
-    asked = queries.count()
-    low, high = seen["low"] or 0, seen["high"] or 0
-    step = max(1, math.ceil((high - low + 1) / 2**bits))
-    blocks, parts = max(1, math.ceil(seen["n"] / block_rows)), max(1, math.ceil(asked / query_rows))
-
-    approximate = _pack(candidates, "block", blocks, "uint8", low, step)
-    questions = _pack(queries, "part", parts, "int64", 0, 1).select(
+    count, asked = candidates.count(), queries.count()
+    blocks, parts = max(1, math.ceil(count / block_rows)), max(1, math.ceil(asked / query_rows))
+    # Two tables of numbers a dimension and cell: their size is set by the vectors' length and ``bits``.
+    borders = vectors.sparkSession.sparkContext.broadcast(_borders(candidates, 2**bits))
+
+    approximate = _pack(candidates, "block", blocks, borders)
+    questions = _pack(queries, "part", parts).select(
         "dim",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"),
         F.col("ids").alias("query_ids"),
@@ -139,7 +161,7 @@ def top_k(
     )
     found = cut(
         questions.join(approximate, ["dim", "block"]).mapInArrow(
-            _scan(k, low, step),
+            _scan(k, borders),
             "query_id bigint, vec_ids array<bigint>, uppers array<bigint>, lowers array<bigint>",
         )
     )
@@ -160,13 +182,18 @@ def top_k(
         .select("query_id", F.col("c.vec_ids").alias("vec_id"), F.col("c.uppers").alias("upper"))
         .withColumn("turn", F.row_number().over(by_upper))
     )
-    first = cut(_with_score(survivors.filter(F.col("turn") <= k).select("query_id", "vec_id"), unique, queries))
-    worst = first.groupBy("query_id").agg(F.min("score").alias("worst"))
-    later = survivors.filter(F.col("turn") > k).join(worst, "query_id").filter(F.col("upper") >= F.col("worst"))
-    scores = first.unionByName(_with_score(later.select("query_id", "vec_id"), unique, queries))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        scores.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+    ranked = lambda scores: scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    read = k
+    scores = cut(ranked(_with_score(survivors.filter(F.col("turn") <= k).select("query_id", "vec_id"), unique, queries)))
+    while True:
+        # With fewer than k scores there are fewer than k candidates, all read in the first round.
+        worst = scores.filter(F.col("rank") == k).select("query_id", F.col("score").alias("worst"))
+        open_ = survivors.filter(F.col("turn") > read).join(worst, "query_id").filter(F.col("upper") >= F.col("worst"))
+        read *= 2
+        later, seen = cut_counting(open_.select("query_id", "vec_id", "turn"))
+        if not seen["rows"]:
+            break
+        more = _with_score(later.filter(F.col("turn") <= read).select("query_id", "vec_id"), unique, queries)
+        scores = cut(ranked(scores.drop("rank").unionByName(more)))
+    return scores.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -120,3 +120,18 @@ def test_top_k_is_brute_force(spark, bits, k, block):
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "id bigint, vector array<bigint>")
     assert top_k(empty, F.col("id") % 5 == 0).count() == 0
+
+
+def test_an_outlier_does_not_widen_the_cells(spark, monkeypatch):
+    from driftmap.llm import topk
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(0, 0.2, (800, 16))
+    vectors[17, 4] = 1e7
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    read, real = [], topk._with_score
+    monkeypatch.setattr(topk, "_with_score", lambda pairs, *a: read.append(pairs.count()) or real(pairs, *a))
+    got = top_k(table.select("id", scaled(F.col("embedding")).alias("vector")), F.col("id") % 20 == 0, k=10).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, lambda i: i % 20 == 0, 10)
+    assert sum(read) <= 10 * 10 * 40
