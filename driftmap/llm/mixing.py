@@ -3,8 +3,8 @@
 Documents are dealt into blocks by a hash. Every source draws whole blocks in a random order, without replacement within
 a pass over the source, until its target is reached; only the last block is cut. The exact numbers of drawn blocks per
 source are then split among the output shards by a binary tree: each node divides its blocks in two halves, and each
-half's numbers per source follow the multivariate hypergeometric distribution, as if the blocks had been shuffled and
-cut. Shard ``s`` takes the next blocks of each source's permutation, so shards are disjoint, and shuffles its rows locally.
+half's numbers per source follow the multivariate hypergeometric distribution. The tree is a table of blocks with the
+node each has reached, written once a level. Shard ``s`` takes the next blocks of each source's permutation, so shards are disjoint, and shuffles its rows locally.
 
 Everything is DataFrame operations. Rows are aggregated to (source, block) before any shuffle; there are about
 ``sqrt(rows)`` blocks, so neither a block nor the blocks of a hot source outgrow a task. The tables per source hold one
@@ -24,6 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmap.llm.common import draw_key, first_32_bits, group_label, n_words, root_of
+from driftmap.operators.scale import cut, running_total
+
+#: Text per task of the mix, and how many ranges of a shard one task takes, so that hashing them evens out.
+TASK_BYTES = 128 << 20
+RANGES_PER_TASK = 8
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -55,61 +60,33 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
-    """``shard, label, blocks``: the exact quotas (``label, blocks``) divided among ``shards``."""
-    entry = F.struct("label", "blocks")
-    nodes = quotas.agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(
-        F.lit(0).alias("first"), F.lit(shards).alias("leaves"), "entries"
-    )
-
-    def halve(entries, first, leaves):
-        total = F.aggregate(entries, F.lit(0).cast("bigint"), lambda n, e: n + e["blocks"])
-        wanted = F.floor(total * F.floor(leaves / 2) / leaves).cast("bigint")
-
-        def draw(state, e):
-            # One step per block: it goes left with probability (still wanted left) / (blocks still to come).
-            def step(s, i):
-                coin = first_32_bits(F.md5(F.concat_ws(":", F.lit(seed), first, leaves, e["label"], i)))
-                left = ((coin + 0.5) / float(2**32) * s["rest"] < s["need"]).cast("bigint")
-                return F.struct(
-                    (s["need"] - left).alias("need"), (s["rest"] - 1).alias("rest"), (s["left"] + left).alias("left")
-                )
-
-            begin = F.struct(
-                state["need"].alias("need"), state["rest"].alias("rest"), F.lit(0).cast("bigint").alias("left")
-            )
-            steps = F.when(e["blocks"] > 0, F.sequence(F.lit(1).cast("bigint"), e["blocks"])).otherwise(
-                F.array().cast("array<bigint>")
-            )
-            end = F.aggregate(steps, begin, step)
-            part = F.struct(e["label"].alias("label"), end["left"].alias("blocks"))
-            return F.struct(
-                end["need"].alias("need"), end["rest"].alias("rest"), F.concat(state["out"], F.array(part)).alias("out")
-            )
-
-        none = F.array().cast("array<struct<label: string, blocks: bigint>>")
-        start = F.struct(wanted.alias("need"), total.alias("rest"), none.alias("out"))
-        return F.aggregate(entries, start, draw)["out"]
+    """``shard, label, blocks``: the exact quotas (``label, blocks``) divided among ``shards``; rows above 0 only.
 
+    The drawn blocks are rows, each at a node of the tree. A node sends the right number of its blocks, those with the
+    smallest coins of that node, to its left half: how many of each source go left then follows the multivariate
+    hypergeometric distribution. Coins are ranked over range partitions, so no node has to fit into a task.
+    """
+    nodes = quotas.filter("blocks > 0").select(
+        "label",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("number"),
+        F.lit(0).alias("first"),
+        F.lit(shards).alias("leaves"),
+        F.lit(1).cast("bigint").alias("one"),
+    )
+    half = F.floor(F.col("leaves") / 2).cast("int")
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
-        left = F.when(F.col("leaves") > 1, halve(F.col("entries"), F.col("first"), F.col("leaves")))
-        half = F.floor(F.col("leaves") / 2).cast("int")
-        right = F.zip_with(
-            "entries",
-            "left",
-            lambda e, l: F.struct(e["label"].alias("label"), (e["blocks"] - l["blocks"]).alias("blocks")),
+        coin = F.md5(F.concat_ws(":", F.lit(seed), "first", "leaves", "label", "number"))
+        ranked = running_total(nodes.withColumn("coin", coin), ["coin", "label", "number"], "one", "rank", ["first"])
+        totals = nodes.groupBy("first").agg(F.count(F.lit(1)).alias("total"))  # at most one row per shard
+        goes_left = F.col("rank") < F.floor(F.col("total") * half / F.col("leaves"))
+        nodes = ranked.join(F.broadcast(totals), "first").select(
+            "label",
+            "number",
+            F.when(goes_left | (F.col("leaves") == 1), F.col("first")).otherwise(F.col("first") + half).alias("first"),
+            F.when(F.col("leaves") == 1, 1).when(goes_left, half).otherwise(F.col("leaves") - half).alias("leaves"),
+            "one",
         )
-        child = lambda first, leaves, entries: F.struct(
-            first.cast("int").alias("first"), leaves.cast("int").alias("leaves"), entries.alias("entries")
-        )
-        both = F.when(
-            F.col("leaves") > 1,
-            F.array(
-                child(F.col("first"), half, F.col("left")),
-                child(F.col("first") + half, F.col("leaves") - half, right),
-            ),
-        ).otherwise(F.array(child(F.col("first"), F.col("leaves"), F.col("entries"))))
-        nodes = nodes.withColumn("left", left).select(F.explode(both).alias("node")).select("node.*")
-    return nodes.select(F.col("first").alias("shard"), F.inline("entries"))
+    return nodes.groupBy(F.col("first").alias("shard"), "label").agg(F.count(F.lit(1)).alias("blocks"))
 
 
 def plan_mix(
@@ -161,13 +138,13 @@ def plan_mix(
         .withColumn("number", F.row_number().over(Window.partitionBy("label").orderBy(*order)) - 1)
         .withColumn("limit", F.col("target") - F.col("before"))
     )
+    drawn = cut(drawn)
     taken = drawn.filter(F.col("limit") > 0)
     quotas = taken.groupBy("label").agg(F.count(F.lit(1)).alias("blocks"))
     dealt = split_tree(quotas, shards, seed)
     earlier = Window.partitionBy("label").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     seats = (
         dealt.withColumn("first", F.coalesce(F.sum("blocks").over(earlier), F.lit(0)))
-        .filter("blocks > 0")
         .select("label", "shard", F.explode(F.expr("sequence(first, first + blocks - 1)")).alias("number"))
     )
     draws = (
@@ -204,13 +181,22 @@ def plan_mix(
     )
 
 
-def mix(docs: DataFrame, shards: int = 16, **options) -> DataFrame:
-    """The mix itself: ``shard, copy, doc``, one row per time a document is taken, shuffled within its shard."""
+def mix(docs: DataFrame, shards: int = 16, task_bytes: int = TASK_BYTES, **options) -> DataFrame:
+    """The mix itself: ``shard, copy, doc``, one row per time a document is taken, shuffled within its shard.
+
+    A shard is written by as many tasks as its share of all text asks for, each with the rows of some ranges of the
+    random ``place`` that orders the shard.
+    """
     plan = plan_mix(docs, shards=shards, **options)
+    text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(text * options.get("share", 1.5) / task_bytes))
+    ranges = math.ceil(RANGES_PER_TASK * tasks / shards)
+    part = F.floor(first_32_bits(F.col("place")) * ranges / 2**32)
     return (
         plan.select("doc", F.explode("draws").alias("draw"))
         .select("draw.shard", "draw.copy", "draw.place", "doc")
-        .repartition(shards, "shard")
+        .withColumn("part", part)
+        .repartition(tasks, "shard", "part")
         .sortWithinPartitions("shard", "place")
-        .drop("place")
+        .drop("place", "part")
     )

@@ -28,13 +28,32 @@ THRESHOLD = 0.3
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that a mix of all documents to target weights takes of each document."""
-    plan = plan_mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    """Words that a mix of all documents to target weights takes of each document, and the shards they go to."""
+    plan = plan_mix(table(spark, sf_dir, "documents"), carry=["doc_id"], shards=_MIX_SHARDS)
     taken = (F.col("size") * F.size("draws")).cast("bigint")
-    return plan.select("doc.doc_id", "size", "source_size", "target", taken.alias("taken"))
+    shards = F.array_join(F.transform(F.array_sort("draws"), lambda d: d["shard"].cast("string")), ",")
+    return plan.select("doc.doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
 
 
-_OP1_SQL = r"""
+_MIX_SHARDS = 16
+
+
+def _tree_level(level: int) -> str:
+    """One level of the splitting tree in SQL: the smallest coins of a node go to its left half."""
+    half = _MIX_SHARDS >> (level + 1)
+    return f"""
+coins{level} AS (
+  SELECT *, row_number() OVER (PARTITION BY first_ ORDER BY md5(concat_ws(':', 'mix', first_, {2 * half}, label, number)),
+                                                            label, number) - 1 AS rank,
+         count(*) OVER (PARTITION BY first_) AS total
+  FROM nodes{level}),
+nodes{level + 1} AS (
+  SELECT label, number, first_ + CASE WHEN rank < total * {half} // {2 * half} THEN 0 ELSE {half} END AS first_
+  FROM coins{level}),"""
+
+
+_OP1_SQL = (
+    r"""
 WITH n AS (SELECT CAST(greatest(1, ceil(sqrt(count(*)))) AS BIGINT) AS blocks FROM documents),
 rows_ AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS label,
@@ -60,21 +79,35 @@ targets AS (
   SELECT label, source_size, coalesce(least(full_, open_level * weight), full_) AS target FROM levels, open_),
 drawn AS (
   SELECT u.label, u.block, t.source_size, t.target, c.copy,
-         t.target - coalesce(sum(u.words) OVER (
-           PARTITION BY u.label ORDER BY c.copy, md5('mix:' || c.copy::VARCHAR || ':' || u.label || ':' || u.block::VARCHAR),
-                                         u.block
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS limit_
-  FROM units u JOIN targets t USING (label), (VALUES (0), (1)) c(copy)),
+         t.target - coalesce(sum(u.words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS limit_,
+         row_number() OVER o - 1 AS number
+  FROM units u JOIN targets t USING (label), (VALUES (0), (1)) c(copy)
+  WINDOW o AS (PARTITION BY u.label
+               ORDER BY c.copy, md5('mix:' || c.copy::VARCHAR || ':' || u.label || ':' || u.block::VARCHAR), u.block)),
+nodes0 AS (SELECT label, number, 0 AS first_ FROM drawn WHERE limit_ > 0),"""
+    + "".join(_tree_level(level) for level in range(4))
+    + r"""
+dealt AS (
+  SELECT label, first_ AS shard, row_number() OVER (PARTITION BY label ORDER BY first_) - 1 AS number FROM nodes4),
 placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY label, block ORDER BY key, size
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle
-  FROM keyed)
-SELECT p.doc_id, p.size, d0.source_size, d0.target,
-       (p.size * ((d0.limit_ > 0 AND p.middle <= d0.limit_)::INT + (d1.limit_ > 0 AND p.middle <= d1.limit_)::INT))::BIGINT AS taken
-FROM placed p
-JOIN drawn d0 ON d0.label = p.label AND d0.block = p.block AND d0.copy = 0
-JOIN drawn d1 ON d1.label = p.label AND d1.block = p.block AND d1.copy = 1
+  FROM keyed),
+seen AS (
+  SELECT p.doc_id, p.size, d0.source_size, d0.target,
+         CASE WHEN d0.limit_ > 0 AND p.middle <= d0.limit_ THEN s0.shard END AS shard0,
+         CASE WHEN d1.limit_ > 0 AND p.middle <= d1.limit_ THEN s1.shard END AS shard1
+  FROM placed p
+  JOIN drawn d0 ON d0.label = p.label AND d0.block = p.block AND d0.copy = 0
+  JOIN drawn d1 ON d1.label = p.label AND d1.block = p.block AND d1.copy = 1
+  LEFT JOIN dealt s0 ON s0.label = d0.label AND s0.number = d0.number
+  LEFT JOIN dealt s1 ON s1.label = d1.label AND s1.number = d1.number)
+SELECT doc_id, size, source_size, target,
+       (size * ((shard0 IS NOT NULL)::INT + (shard1 IS NOT NULL)::INT))::BIGINT AS taken,
+       concat_ws(',', shard0, shard1) AS shards
+FROM seen
 """
+)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,3 +144,21 @@ def test_mix_query_meets_targets(spark, sf_dir):
     got = op1_mix_sources(spark, sf_dir).collect()
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
     assert sum({(r["source_size"], r["target"]): r["target"] for r in got}.values()) > 0
+
+
+def test_tree_is_a_random_cut_of_the_blocks(spark):
+    # Over seeds, how many of 30 blocks of "a" among 90 go to the first of two shards has the hypergeometric moments.
+    table = spark.createDataFrame([("a", 30), ("b", 60)], "label string, blocks bigint")
+    left = []
+    for seed in range(12):
+        split = {(r["shard"], r["label"]): r["blocks"] for r in split_tree(table, 2, f"s{seed}").collect()}
+        assert split[0, "a"] + split[0, "b"] == 45
+        left.append(split[0, "a"])
+    assert len(set(left)) > 1 and abs(sum(left) / 12 - 15) < 4 * 2.25 / 12**0.5
+
+
+def test_mix_uses_tasks_by_size(docs):
+    few, many = (mix(docs, shards=2, task_bytes=n) for n in (1 << 30, 4096))
+    assert many.rdd.getNumPartitions() > 20
+    placed = lambda df: Counter(map(tuple, df.select("shard", "copy", "doc.doc_id").collect()))
+    assert placed(few) == placed(many)
