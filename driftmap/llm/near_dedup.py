@@ -317,9 +317,11 @@ def _confirmed_lists(lists: DataFrame, sets: DataFrame, percent: int) -> DataFra
     )
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, named: bool = False) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, kept``, one row per row of ``docs(doc_id, text)``.
 
+    If ``named``, ``component`` names the group also where ids are NULL or repeat; NULL for documents without words.
+
     Documents are linked if their sets of shingles of ``size`` words have ``100 * |both| >= percent * |either|``.
     """
     scanned = stored(_scan(docs, size), "scanned")
@@ -385,7 +387,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     placed = stored(placed, "placed")
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = lookup(placed.select("class", "component"), smallest, ["component"]).select("class", "component_id")
+    found = lookup(placed.select("class", "component"), smallest, ["component"]).select("class", "component", "component_id")
     rows = lookup(scanned.select("doc_id", "text_hash", "class", "n_shingles"), found, ["class"])
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select(
@@ -394,4 +396,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        *(["component"] if named else []),
     )
