@@ -210,9 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         part = known.filter(F.col("label") == label).withColumn("turn", turn).orderBy("turn", "doc_id").limit(sample_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    sample = stored(
-        sample.dropDuplicates(["doc_id", "label"]).withColumn("half", first_32_bits(F.col("turn")) % 2), "sample"
-    )
+    # Of several texts under one id, the one with the smallest hash.
+    sample = sample.groupBy("doc_id", "label", "turn").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = stored(sample.withColumn("half", first_32_bits(F.col("turn")) % 2), "sample")
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: tuple[list, list] = ([], [])
