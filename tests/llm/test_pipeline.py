@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline as cp
+from corpus_texts import edited, words
 from test_dedup import brute_groups, brute_hits
 
 from driftmap.llm.queries import THRESHOLD, toxic_labels
@@ -77,3 +78,16 @@ def test_awkward_rows_pass_every_stage(spark, docs, sf_dir):
         assert set(docs.columns) <= set(out.columns)
         assert out.count() > 0
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_one_copy_stays_without_ids_and_under_one_id(spark):
+    base = words(900, 200)
+    copies = [edited(base, i, 1) for i in range(3)]
+    schema = "doc_id bigint, text string"
+    for ids in ([None] * 3, [7] * 3, [None, 7, 7], [9, 8, None]):
+        rows = [*zip(ids, copies), (ids[0], copies[0]), (None, words(901, 90)), (7, words(902, 90)), (None, ""), (7, None)]
+        got = [tuple(r) for r in cp.one_of_each(spark, spark.createDataFrame(rows, schema), "").collect()]
+        near = [r for r in got if r[1] in copies]
+        assert len(near) == 1 and len(got) == 5
+        known = [i for i in ids if i is not None]
+        assert near[0][0] == (min(known) if known else None)
