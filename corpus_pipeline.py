@@ -37,10 +37,18 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of repeated rows, one."""
-    kept = _named(near_duplicates(docs, size=5, percent=80).filter("kept"))
-    rows = _keyed(docs).join(kept, ["key", "text_hash"], "left_semi")
-    return rows.dropDuplicates(["key", "text_hash"]).select("doc.*")
+    """One document of each group of near duplicates, also where ids are NULL or repeat; of repeated rows, one.
+
+    It is the one with the smallest id, a row without id last, and with the smallest hash of the text if ids tie.
+    """
+    found = near_duplicates(docs, size=5, percent=80, named=True)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    chosen = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("row")).select("row.*")
+    alone = found.filter("component IS NULL")
+    kept = _named(chosen.select("doc_id", "text_hash").unionByName(alone.select("doc_id", "text_hash")))
+    # Repeated rows go first, so that a row repeated in a third of the table never gathers.
+    rows = _keyed(docs).dropDuplicates(["key", "text_hash"])
+    return rows.join(kept, ["key", "text_hash"], "left_semi").select("doc.*")
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
