@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -238,3 +239,64 @@ def histogram_2d(df: DataFrame, x: str, y: str, nx: int = 50, ny: int = 50) -> D
         position("vy", span["y0"], span["y1"], ny).alias("biny"),
     )
     return cells.agg(F.count("*").alias("count"))
+
+
+def kernel_density(
+    df: DataFrame, x: str, y: str, nx: int = 50, ny: int = 50, bandwidth: float = 1.0, reach: float = 4.0
+) -> DataFrame:
+    """Smoothed rows per cell of the grid of ``histogram_2d``: ``binx, biny, density``, cells that the kernel reaches only.
+
+    The kernel is a Gaussian with ``bandwidth`` cells as its deviation, cut ``reach`` deviations from the centre and scaled
+    to a sum of 1; what falls outside the grid is left out. It is the product of one kernel along each axis, so cells
+    meet ``2 * reach * bandwidth + 1`` weights twice, once along each axis, and not their square. Rows are counted by cell
+    first, so all further work is on cells.
+    """
+    steps = math.floor(reach * bandwidth)
+    weights = [math.exp(-d * d / (2 * bandwidth * bandwidth)) for d in range(-steps, steps + 1)]
+    stencil = F.array(
+        *[
+            F.struct(F.lit(d).cast("bigint").alias("step"), F.lit(w / sum(weights)).alias("weight"))
+            for d, w in zip(range(-steps, steps + 1), weights)
+        ]
+    )
+
+    def smooth(cells: DataFrame, axis: str, other: str, n: int) -> DataFrame:
+        spread = cells.select(axis, other, "density", F.inline(stencil)).select(
+            (F.col(axis) + F.col("step")).alias(axis), other, (F.col("density") * F.col("weight")).alias("density")
+        )
+        return spread.filter(F.col(axis).between(0, n - 1)).groupBy(axis, other).agg(F.sum("density").alias("density"))
+
+    cells = histogram_2d(df, x, y, nx, ny).withColumn("density", F.col("count").cast("double"))
+    return smooth(smooth(cells, "binx", "biny", nx), "biny", "binx", ny).select("binx", "biny", "density")
+
+
+def hexagons(df: DataFrame, x: str, y: str, size: float = 1.0) -> DataFrame:
+    """Rows per hexagon: ``q, r, x, y, count``, hexagons with rows only.
+
+    Hexagons stand on a corner, ``size`` from centre to corner; ``q`` and ``r`` are axial coordinates and ``x, y`` the centre.
+    A row belongs to the hexagon whose centre is nearest. NULL, NaN and infinite values are ignored.
+    """
+    vx, vy = F.col("vx"), F.col("vy")
+    values = df.filter(_present(df, x) & _present(df, y)).select(
+        F.col(x).cast("double").alias("vx"), F.col(y).cast("double").alias("vy")
+    )
+    q, r = F.col("aq"), F.col("ar")
+    axial = values.filter((F.abs(vx) < float("inf")) & (F.abs(vy) < float("inf"))).select(
+        ((vx * (1 / math.sqrt(3)) - vy / 3) / size).alias("aq"), (2 * vy / 3 / size).alias("ar")
+    )
+    nearest = lambda v: F.floor(v + 0.5)
+    # The three coordinates sum to 0; the one that rounding moved most is set from the other two.
+    whole = axial.select("aq", "ar", nearest(q).alias("wq"), nearest(r).alias("wr"), nearest(-q - r).alias("ws"))
+    off_q, off_r, off_s = F.abs(F.col("wq") - q), F.abs(F.col("wr") - r), F.abs(F.col("ws") + q + r)
+    worst_q = (off_q > off_r) & (off_q > off_s)
+    cells = whole.groupBy(
+        F.when(worst_q, -F.col("wr") - F.col("ws")).otherwise(F.col("wq")).cast("bigint").alias("q"),
+        F.when(worst_q | (off_r <= off_s), F.col("wr")).otherwise(-F.col("wq") - F.col("ws")).cast("bigint").alias("r"),
+    ).agg(F.count("*").alias("count"))
+    return cells.select(
+        "q",
+        "r",
+        ((F.col("q") + F.col("r") / 2) * (size * math.sqrt(3))).alias("x"),
+        (F.col("r") * (1.5 * size)).alias("y"),
+        "count",
+    )
