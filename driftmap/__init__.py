@@ -40,8 +40,10 @@ from driftmap.operators.profile import (
     corrupt_profile,
     distinct_keys,
     exact_quantiles,
+    hexagons,
     histogram,
     histogram_2d,
+    kernel_density,
     null_counts,
     row_count,
     snapshots_per_key,
@@ -76,6 +78,7 @@ from driftmap.operators.relational import (
 from driftmap.operators.scale import clear_scratch
 from driftmap.operators.silhouette import silhouette_exact
 from driftmap.operators.splits import fit_splits, label_splits, sweep_splits
+from driftmap.operators.topics import topic_tables
 from driftmap.plans.drift import MEASURES, semantic_drift
 from driftmap.plans.history import add_week, drift_so_far, last_snapshots
 from driftmap.session import get_spark

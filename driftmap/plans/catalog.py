@@ -29,6 +29,7 @@ from driftmap.operators.reduce import explained_variance, optimal_k, pca_model,
 from driftmap.operators.scale import cut, scratch_path
 from driftmap.operators.silhouette import silhouette_exact
 from driftmap.operators.splits import sweep_splits
+from driftmap.operators.topics import topic_tables
 from driftmap.plans.derived import (
     CRAWL_SQL,
     DRIFT_SQL,
@@ -691,6 +692,38 @@ def _(spark, sf_dir):
     return profile.histogram_2d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 20, 30)
 
 
+@query(
+    "kernel_density",
+    f"""WITH {POINTS_SQL},
+span AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points),
+cells AS (SELECT least(floor((x - x0) / ((x1 - x0) / 60)), 59)::BIGINT AS cx,
+                 least(floor((y - y0) / ((y1 - y0) / 60)), 59)::BIGINT AS cy, count(*) AS n
+          FROM points, span GROUP BY ALL),
+weights AS (SELECT d, exp(-d * d / 4.5) AS w FROM range(-6, 7) t(d)),
+kernel AS (SELECT d, w / (SELECT sum(w) FROM weights) AS w FROM weights)
+SELECT cx + a.d AS binx, cy + b.d AS biny, round(sum(n * a.w * b.w), 9) AS density
+FROM cells, kernel a, kernel b
+WHERE cx + a.d BETWEEN 0 AND 59 AND cy + b.d BETWEEN 0 AND 59 GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    grid = profile.kernel_density(points(spark, sf_dir), "x", "y", 60, 60, bandwidth=1.5)
+    return grid.select("binx", "biny", rounded("density", 9))
+
+
+@query(
+    "hexagons",
+    f"""WITH {POINTS_SQL},
+axial AS (SELECT (0.5773502691896258::DOUBLE * x - y / 3) / 0.5::DOUBLE AS q, (2 * y / 3) / 0.5::DOUBLE AS r FROM points),
+whole AS (SELECT *, floor(q + 0.5::DOUBLE) AS wq, floor(r + 0.5::DOUBLE) AS wr, floor(-q - r + 0.5::DOUBLE) AS ws FROM axial),
+off AS (SELECT *, abs(wq - q) AS dq, abs(wr - r) AS dr, abs(ws + q + r) AS ds FROM whole)
+SELECT (CASE WHEN dq > dr AND dq > ds THEN -wr - ws ELSE wq END)::BIGINT AS q,
+       (CASE WHEN (dq > dr AND dq > ds) OR dr <= ds THEN wr ELSE -wq - ws END)::BIGINT AS r, count(*) AS count
+FROM off GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    return profile.hexagons(points(spark, sf_dir), "x", "y", size=0.5).select("q", "r", "count")
+
+
 def _matrix_sql(source: str, cols, rank: bool = False) -> str:
     parts = []
     for a in cols:
@@ -923,12 +956,12 @@ def _address_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("topic_terms")
 def _(spark, sf_dir):
-    return cluster.topic_model(_address_words(spark, sf_dir), 3)[0]
+    return topic_tables(_address_words(spark, sf_dir), 3)[0]
 
 
 @query("topic_assignments")
 def _(spark, sf_dir):
-    return cluster.topic_model(_address_words(spark, sf_dir), 3)[1]
+    return topic_tables(_address_words(spark, sf_dir), 3)[1]
 
 
 _SILHOUETTE_SQL = """,
