@@ -317,10 +317,10 @@ def _confirmed_lists(lists: DataFrame, sets: DataFrame, percent: int) -> DataFra
     )
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, named: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, with_component: bool = False) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, kept``, one row per row of ``docs(doc_id, text)``.
 
-    If ``named``, ``component`` names the group also where ids are NULL or repeat; NULL for documents without words.
+    If ``with_component``, ``component`` names the group also where ids are NULL or repeat; NULL for documents without words.
 
     Documents are linked if their sets of shingles of ``size`` words have ``100 * |both| >= percent * |either|``.
     """
@@ -396,5 +396,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, named: bo
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
-        *(["component"] if named else []),
+        *(["component"] if with_component else []),
     )
