@@ -41,7 +41,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     It is the one with the smallest id, a row without id last, and with the smallest hash of the text if ids tie.
     """
-    found = near_duplicates(docs, size=5, percent=80, named=True)
+    found = near_duplicates(docs, size=5, percent=80, with_component=True)
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     chosen = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("row")).select("row.*")
     alone = found.filter("component IS NULL")
