@@ -79,6 +79,7 @@ from driftmap.operators.scale import clear_scratch
 from driftmap.operators.silhouette import silhouette_exact
 from driftmap.operators.splits import fit_splits, label_splits, sweep_splits
 from driftmap.operators.topics import topic_tables
+from driftmap.operators.training import autoencoder_fit_synchronous
 from driftmap.plans.drift import MEASURES, semantic_drift
 from driftmap.plans.history import add_week, drift_so_far, last_snapshots
 from driftmap.session import get_spark

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from driftmap.functions.vectors import squared_distance
 
 _CHUNK = 1024
+#: Rows that one task trains on at most, about, and the least number of tasks.
+_SHARD_ROWS, _LEAST_SHARDS = 250_000, 16
 
 
 def _activate(kind: str, z: np.ndarray) -> np.ndarray:
@@ -114,11 +116,21 @@ class Encoder:
         return float((error * error).mean()), np.concatenate([*weight_grads[::-1], *bias_grads[::-1]])
 
 
-def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
+def rows_of(batch: pa.RecordBatch) -> np.ndarray:
     vectors = batch.column(0)
     return vectors.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(vectors), -1)
 
 
+def checked_vectors(df: DataFrame, col: str, width: int) -> tuple[DataFrame, int]:
+    """The vectors as ``v``, and their number; one of another width, or with a missing element, is an error."""
+    vector = F.col(col)
+    broken = vector.isNotNull() & ((F.size(vector) != width) | F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
+    wrong, rows = df.agg(F.count_if(broken), F.count(vector)).first()
+    if wrong:
+        raise ValueError(f"{wrong} vectors are not of width {width} or have missing elements")
+    return df.filter(vector.isNotNull()).select(vector.cast("array<float>").alias("v")), rows
+
+
 def _train_partition(model: Encoder, lr: float, decay: float, batch: int, seed: int):
     """A function that passes once over a partition with Adam and returns its model in chunks."""
 
@@ -128,7 +140,7 @@ def _train_partition(model: Encoder, lr: float, decay: float, batch: int, seed:
         rng = np.random.default_rng(seed)
         steps, rows, loss_sum = 0, 0, 0.0
         for arrow in batches:
-            x = _rows_of(arrow)
+            x = rows_of(arrow)
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 part = x[order[at : at + batch]]
@@ -167,12 +179,13 @@ def autoencoder_fit(
     epochs: int = 20,
     seed: int = 1,
     col: str = "embedding",
-    shards: int = 16,
+    shards: int | None = None,
 ) -> tuple[Encoder, DataFrame]:
     """Fit an autoencoder; returns the model and its loss curve ``epoch, mean_loss``.
 
     ``layers`` lists the widths from the input to the narrowest layer. Rows are dealt by the hash of their vector into
-    at most ``shards`` parts, and sorted by it, so that the result does not depend on the cluster. In every epoch each
+    at most ``shards`` parts (by default their number follows from that of the rows), and sorted by it, so that the result
+    does not depend on the cluster. In every epoch each
     part trains a copy on its rows in small batches, with the optimizer's moments starting anew; the copies are averaged,
     weighted by rows, in distributed chunks, so that no task or driver ever holds more than one model and a few chunks.
     The mean loss is that seen while training. Rows without a vector are left out; a vector of another width than
@@ -180,12 +193,8 @@ def autoencoder_fit(
     """
     spark = df.sparkSession
     model = Encoder.start(layers, hidden, bottleneck, output, seed)
-    vector = F.col(col)
-    broken = vector.isNotNull() & ((F.size(vector) != layers[0]) | F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
-    wrong = df.agg(F.count_if(broken)).first()[0]
-    if wrong:
-        raise ValueError(f"{wrong} vectors are not of width {layers[0]} or have missing elements")
-    vectors = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("array<float>").alias("v"))
+    vectors, rows = checked_vectors(df, col, layers[0])
+    shards = shards or max(_LEAST_SHARDS, -(-rows // _SHARD_ROWS))
     vectors = vectors.repartition(shards, F.pmod(F.xxhash64("v"), F.lit(4 * shards)))
     vectors = vectors.sortWithinPartitions(F.xxhash64("v")).persist(StorageLevel.MEMORY_AND_DISK)
     losses = []

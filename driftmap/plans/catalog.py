@@ -30,6 +30,7 @@ from driftmap.operators.scale import cut, scratch_path
 from driftmap.operators.silhouette import silhouette_exact
 from driftmap.operators.splits import sweep_splits
 from driftmap.operators.topics import topic_tables
+from driftmap.operators.training import autoencoder_fit_synchronous
 from driftmap.plans.derived import (
     CRAWL_SQL,
     DRIFT_SQL,
@@ -834,6 +835,14 @@ def _(spark, sf_dir):
     return _fit(spark, sf_dir)[2]
 
 
+@query("autoencoder_batches")
+def _(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    width = vectors.select(F.size("embedding").alias("d")).head()["d"]
+    layers = [width, 2 * width // 3, width // 3]
+    return autoencoder_fit_synchronous(vectors, layers, bottleneck="linear", output="linear", lr=2e-3, epochs=5)[1]
+
+
 @query("autoencode")
 def _(spark, sf_dir):
     vectors, model, _curve = _fit(spark, sf_dir)
