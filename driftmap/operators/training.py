@@ -83,12 +83,14 @@ def _added(messages: Sequence[str], size: int) -> np.ndarray:
     return shares[np.argsort(shares[:, 0], kind="stable"), 1:].sum(axis=0)
 
 
-def _epoch(model: Encoder, moments: np.ndarray, done: int, steps: int, lr: float, decay: float, settings: str):
-    """A function that takes all steps of one epoch together with the other tasks of its stage."""
+def _epoch(
+    model: Encoder, moments: np.ndarray, done: int, steps: int, lr: float, decay: float, settings: str, alone: bool
+):
+    """A function that takes all steps of one epoch together with the other tasks of its stage, or ``alone``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = BarrierTaskContext.get()
-        leads = context.partitionId() == 0
+        context = None if alone else BarrierTaskContext.get()
+        leads = alone or context.partitionId() == 0
         flat, (first, second) = model.flat(), moments.copy()
         groups = _groups(batches)
         ahead = next(groups, None)
@@ -119,8 +121,8 @@ def _epoch(model: Encoder, moments: np.ndarray, done: int, steps: int, lr: float
                 loss, grad = at.gradients(x)
                 shares.append(np.concatenate([[share, len(x), loss * len(x)], grad * len(x)]))
                 ahead = next(groups, None)
-            sent = np.concatenate(shares) if shares else np.zeros(0)
-            total = _added(context.allGather(base64.b64encode(sent.tobytes()).decode()), len(flat))
+            sent = base64.b64encode(np.concatenate(shares).tobytes() if shares else b"").decode()
+            total = _added([sent] if alone else context.allGather(sent), len(flat))
             rows, loss, grad = total[0], total[1] / total[0], total[2:] / total[0] + decay * flat
             turn = done + step + 1
             first = 0.9 * first + 0.1 * grad
@@ -168,7 +170,7 @@ def autoencoder_fit_synchronous(
     epochs: int = 20,
     seed: int = 1,
     col: str = "embedding",
-    share_rows: int = 16,
+    share_rows: int = 80,
     workers: int | None = None,
     path: str | None = None,
 ) -> tuple[Encoder, DataFrame]:
@@ -176,9 +178,10 @@ def autoencoder_fit_synchronous(
 
     ``loss`` is the mean squared error of a batch before its step. ``batch`` rows make a step, cut into shares of about
     ``share_rows``; there are at most as many tasks as shares, and at most ``workers`` (by default, the cluster's slots),
-    which must all run at once. More data wants a larger ``batch``, which more tasks then work on. Each step sends one
-    gradient a share, of the size set by ``layers``, through the barrier. Stages of this kind need a fixed number of
-    executors.
+    which must all run at once. Each step sends one gradient a share, of the size set by ``layers``, through the barrier,
+    which Spark polls once a second: a step of several tasks takes a second at least. So more data wants a larger
+    ``batch``, which more tasks then work on; a batch of one share needs one task and no barrier. Barrier stages need a
+    fixed number of executors.
 
     ``path`` names a folder for the epochs' tables; a fit with the same settings and as many rows goes on after the epochs
     found there, one with others is an error. Rows without a vector are left out; a vector of another width than
@@ -216,8 +219,8 @@ def autoencoder_fit_synchronous(
                 .sortWithinPartitions("step", "share", "place")
                 .select("v", "step", "share")
             )
-            run = _epoch(model, moments, epoch * steps, steps, lr, weight_decay, settings)
-            dealt.mapInArrow(run, _SCHEMA, barrier=True).write.mode("overwrite").parquet(target)
+            run = _epoch(model, moments, epoch * steps, steps, lr, weight_decay, settings, alone=tasks == 1)
+            dealt.mapInArrow(run, _SCHEMA, barrier=tasks > 1).write.mode("overwrite").parquet(target)
         stored = spark.read.schema(_SCHEMA).parquet(target)
         # The rows of one model and its moments: their number is fixed by ``layers``.
         parts = stored.filter("chunk IS NOT NULL").orderBy("chunk").collect()

@@ -840,7 +840,9 @@ def _(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     width = vectors.select(F.size("embedding").alias("d")).head()["d"]
     layers = [width, 2 * width // 3, width // 3]
-    return autoencoder_fit_synchronous(vectors, layers, bottleneck="linear", output="linear", lr=2e-3, epochs=5)[1]
+    return autoencoder_fit_synchronous(
+        vectors, layers, bottleneck="linear", output="linear", lr=2e-3, batch=800, epochs=5
+    )[1]
 
 
 @query("autoencode")
