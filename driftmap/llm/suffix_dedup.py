@@ -200,6 +200,8 @@ def repeated_starts(runs: list[bytes], counts: list[int], length: int = LENGTH)
     return twice[places]
 
 
+#: What identifies a row: a hash of its id and text, and one of its text, 128 bits together.
+_KEY = ["doc", "text_hash"]
 _RUN = "array<struct<owner: bigint, content: bigint, start: int, n: int>>"
 
 
@@ -234,6 +236,12 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc bigint, text_hash bigint, runs {_RUN}")
 
 
+def _single(rows: DataFrame, again: DataFrame, hot: list[int]) -> DataFrame:
+    """One row of each id and text; ``again`` lists those that repeat, whose texts are combined before they move."""
+    once = lookup(rows, again, _KEY, "left_anti", hot=hot).select(*_KEY, "text")
+    return once.unionByName(lookup(rows, again, _KEY, "inner", hot=hot).groupBy(_KEY).agg(F.min("text").alias("text")))
+
+
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The runs in ``wanted(doc, chosen)``, split by the second kind of owner: ``owner, content, at, second, n, run``."""
 
@@ -379,11 +387,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry_text: bool = Fal
         raise ValueError(f"length must be a multiple of 8 and at least {2 * GRAM}")
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("text_hash", F.xxhash64("text"))
+    # Rows without an id, or with one id, are told apart by their texts, so their contents do not meet in one place.
+    rows = rows.withColumn("doc", F.xxhash64("doc_id", "text_hash"))
     scanned = stored(_runs(rows.select("doc", "text_hash", "text"), length), "runs")
     every = scanned.select("doc", "text_hash", F.inline("runs"))
+    counted = scanned.filter(F.size("runs") > 0).groupBy(_KEY).agg(F.count(F.lit(1)).alias("rows"))
+    again = stored(counted.filter("rows > 1"), "again")
+    copied = _hot(again, _KEY)
     owners = stored(
         every.groupBy("owner")
         .agg(F.count(F.lit(1)).alias("rows"), F.min("content").alias("low"), F.max("content").alias("high"))
@@ -401,7 +413,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry_text: bool = Fal
         "contents",
     )
     chosen = contents.groupBy("doc").agg(F.collect_list(F.struct("owner", "content")).alias("chosen"))
-    contexts = stored(_contexts(rows, chosen, length), "contexts")
+    texts = _single(rows, again.select(_KEY), copied) if again.head(1) else rows
+    contexts = stored(_contexts(texts, chosen, length), "contexts")
     pair = ["owner", "second"]
     crowded = stored(
         contexts.groupBy(pair).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > CROWDED), "crowded"
@@ -442,7 +455,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry_text: bool = Fal
         repeated.filter("NOT differ")
         .select("doc", "text_hash", F.inline(entire))
         .unionByName(known.select("doc", "text_hash", F.inline(F.when(F.col("whole"), entire).otherwise(moved))))
-        .groupBy("doc", "text_hash")
+        .groupBy(_KEY)
         .agg(F.collect_set(F.struct("first", "last")).alias("covered"))
     )
 
@@ -472,7 +485,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry_text: bool = Fal
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     return (
-        rows.join(covered, ["doc", "text_hash"], "left")
+        lookup(rows, covered, _KEY, "left", hot=copied)
         .select("doc_id", "text", "covered")
         .mapInArrow(cut_out, schema + (", kept binary" if carry_text else ""))
     )

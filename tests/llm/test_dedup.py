@@ -185,6 +185,16 @@ def test_repeats_are_brute_force(docs, rows, length):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
 
 
+@pytest.mark.parametrize("name", [None, 7])
+def test_repeats_without_ids_and_under_one_id(spark, rows, name, monkeypatch):
+    monkeypatch.setattr(sd, "HOT_ROWS", 3)  # rows that repeat as wholes stay where they are
+    monkeypatch.setattr(sd, "HOT_GROUPS", 50)
+    texts = [r[1] for r in rows] + ["the same row " * 30] * 20
+    table = spark.createDataFrame([(name, t) for t in texts], "doc_id bigint, text string").repartition(5)
+    want = brute_repeats([(name, t) for t in texts], 200)
+    assert Counter(map(tuple, remove_repeats(table).collect())) == want
+
+
 def test_repeats_in_small_alphabets(spark):
     rnd = random.Random(4)
     rows = [(i, "".join(rnd.choice("ab") * rnd.choice((1, 1, 2, 60)) for _ in range(60))) for i in range(60)]
