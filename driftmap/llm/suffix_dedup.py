@@ -19,7 +19,7 @@ windows of the same owner hash, and consecutive windows of one owner form a run,
 4. The repeated stretches of each document are merged and cut out.
 
 Hashes have 64 bits; contents are told apart by owner and content hash, 128 bits together. Defined results: NULL texts are
-empty; texts shorter than ``LENGTH`` keep everything; repeated rows repeat each other, so their long texts go entirely;
+empty; rows without an id, or with one id, are told apart by their texts; texts shorter than ``LENGTH`` keep everything; repeated rows repeat each other, so their long texts go entirely;
 empty tables give no rows; other columns are ignored.
 """
 
