@@ -3,8 +3,9 @@
 The state is one row per document and term, ``id, term, n, share``: how often the term occurs there and how its
 occurrences are shared among the topics. A pass sums the shares by document, by term and over all, joins the first two sums
 back and shares anew; it is one job that ends in a table in the shared folder. Sums are combined before the shuffle,
-and rows of a term or document that holds too many rows stay where they are (``scale.lookup``). The driver holds
-nothing but the number of terms and the hot keys.
+and rows of a term or document that holds too many rows stay where they are (``scale.lookup``). All other joins go by
+shuffles, as the sums grow with the input and a broadcast in each pass would send them through the driver, which so holds
+nothing but the number of terms, the hot keys and the sums over all.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ def topic_tables(
     rows = state.count()
     hot = {name: hot_hashes(state, [name], at_most=rows) for name in ("id", "term")}
     for _ in range(max_iter):
-        by_doc = state.groupBy("id").agg(_sums(k).alias("of_doc"))
-        by_term = state.groupBy("term").agg(_sums(k).alias("of_term"))
+        by_doc = state.groupBy("id").agg(_sums(k).alias("of_doc")).hint("merge")
+        by_term = state.groupBy("term").agg(_sums(k).alias("of_term")).hint("merge")
         of_all = state.agg(_sums(k)).scalar()
         met = lookup(state.select("id", "term", "n"), by_doc, ["id"], "inner", hot=hot["id"])
         met = lookup(met, by_term, ["term"], "inner", hot=hot["term"])
@@ -83,5 +84,5 @@ def topic_tables(
         "id", (F.array_position("of_doc", F.array_max("of_doc")) - 1).cast("int").alias("prediction")
     )
     ids = df.select(F.col(id_col).alias("id"), (F.size(tokens) > 0).alias("known"))
-    assigned = ids.join(best, "id", "left").select("id", F.when(F.col("known"), F.col("prediction")).alias("prediction"))
+    assigned = ids.join(best.hint("merge"), "id", "left").select("id", F.when(F.col("known"), F.col("prediction")).alias("prediction"))
     return top.select("topic", "term", "weight"), assigned

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import driftmap as dm
-from driftmap.operators import scale
+from driftmap.operators import scale, topics
 from driftmap.operators.topics import term_shares, topic_tables
 
 SCHEMA = "id long, tokens array<string>"
@@ -63,3 +63,17 @@ def test_no_tokens(spark):
     top, assigned = dm.topic_tables(spark.createDataFrame([(1, []), (2, None)], SCHEMA), 2, max_iter=1)
     assert top.count() == 0 and [r.prediction for r in assigned.collect()] == [None, None]
     assert dm.topic_tables(spark.createDataFrame([], SCHEMA), 2, max_iter=1)[1].count() == 0
+
+
+def test_passes_broadcast_nothing_that_grows(spark, monkeypatch):
+    plans, real = [], topics.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan())
+        return real(df)
+
+    monkeypatch.setattr(topics, "cut", seen)
+    df = spark.createDataFrame(texts(20), SCHEMA)
+    assigned = dm.topic_tables(df, 2, max_iter=1)[1]
+    hints = [str(p.toString()).count("strategy=merge") for p in (plans[-1], assigned._jdf.queryExecution().optimizedPlan())]
+    assert hints == [2, 1]
