@@ -1,5 +1,7 @@
 """Density clustering against plain computations on all pairs."""
 
+import re
+
 import brute
 import numpy as np
 import pytest
@@ -112,3 +114,21 @@ def test_exact_silhouette(spark, block):
     assert (row.n_rows, row.n_clusters) == (len(xy), 6)
     assert row.silhouette == pytest.approx(silhouette(xy, label), rel=1e-9)
     assert dm.silhouette_exact(df.filter("prediction = 1")).head().silhouette is None
+
+
+def test_exact_silhouette_has_a_task_for_each_block(spark):
+    xy = scattered()
+    rows = [(i, float(x), float(y), i % 3) for i, (x, y) in enumerate(xy)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, prediction int")
+    plan = str(dm.silhouette_exact(df, 40)._jdf.queryExecution().optimizedPlan().toString())
+    tasks = [int(n) for n in re.findall(r"RepartitionByExpression .*, (\d+)", plan)]
+    assert tasks == [-(-len(xy) // 40)]
+
+
+@pytest.mark.parametrize("scale", [1e-160, 1.0, 1e200])
+def test_exact_silhouette_of_tiny_and_huge_coordinates(spark, scale):
+    xy = scattered()[:90]
+    label = np.arange(90) % 3
+    rows = [(i, float(x * scale), float(y * scale), int(c)) for i, ((x, y), c) in enumerate(zip(xy, label))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, prediction int")
+    assert dm.silhouette_exact(df, 40).head().silhouette == pytest.approx(silhouette(xy, label), rel=1e-9)
