@@ -1,9 +1,13 @@
 """Synchronous training of the autoencoder: every step uses one joint batch, whose gradient all tasks add up.
 
-A batch is cut into shares of a few rows. An epoch is one barrier stage: each task reads the shares dealt to it in the
-order of steps, sends the summed gradient of its part of the batch to all others, adds up the shares in a fixed order and
-takes the same step of Adam as they do. So all tasks hold equal models at all times, and the result depends neither on
-their number nor on how rows lay before.
+A batch is cut into shares of a few rows. Where a batch is long work, an epoch is one barrier stage: each task reads the
+shares dealt to it in the order of steps, sends the summed gradient of its part of the batch to all others, adds up the shares
+in a fixed order and takes the same step of Adam as they do. So all tasks hold equal models at all times, and the result
+depends neither on their number nor on how rows lay before.
+
+An exchange through the barrier takes a second, so batches that one task adds up in less are not spread. Then an epoch is a chain
+of tasks, each with the steps of a small part of the rows: it adds up the shares in the same order, takes the same steps, and
+hands the model and the moments to the next.
 
 Rows are ranked once by the hash of their vector. Each epoch permutes the ranks and deals them to batches in turn, so
 batches are of even size, are others in each epoch, and rows repeated many times are spread over all of them.
@@ -28,6 +32,10 @@ from driftmap.operators.encoder import Encoder, checked_vectors, rows_of
 from driftmap.operators.scale import cut, global_rank, scratch_path
 
 _CHUNK = 1024
+#: Least rows of one link of a chain, about, and most links of an epoch.
+_LINK_ROWS, _LINKS = 1 << 15, 32
+#: Multiplications that a task does in a second at least, the time of an exchange through the barrier.
+_SECOND = 2_000_000_000
 #: Rows of losses that the first task holds before it writes them.
 _LOSSES = 4096
 #: Most rows whose places can be permuted in whole numbers of 64 bits, and the factors used for it.
@@ -84,9 +92,10 @@ def _added(messages: Sequence[str], size: int) -> np.ndarray:
 
 
 def _epoch(
-    model: Encoder, moments: np.ndarray, done: int, steps: int, lr: float, decay: float, settings: str, alone: bool
+    model: Encoder, moments: np.ndarray, done: int, steps: range, lr: float, decay: float, settings: str, alone: bool
 ):
-    """A function that takes all steps of one epoch together with the other tasks of its stage, or ``alone``."""
+    """A function that takes ``steps`` of an epoch together with the other tasks of its stage, or ``alone``; ``done`` were taken
+    in epochs before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = None if alone else BarrierTaskContext.get()
@@ -113,7 +122,7 @@ def _epoch(
                 names=["step", "n_rows", "loss", "chunk", "params", "first", "second", "settings"],
             )
 
-        for step in range(steps):
+        for step in steps:
             at = model.with_flat(flat)
             shares = []
             while ahead is not None and ahead[0] == step:
@@ -153,6 +162,39 @@ def _epoch(
     return run
 
 
+def _model(stored: DataFrame) -> list:
+    """The rows of one model and its moments: their number is fixed by its layers."""
+    return stored.filter("chunk IS NOT NULL").orderBy("chunk").collect()
+
+
+def _unpacked(model: Encoder, parts: list) -> tuple[Encoder, np.ndarray]:
+    moments = np.stack([np.concatenate([p[name] for p in parts]) for name in ("first", "second")])
+    return model.with_flat(np.concatenate([p["params"] for p in parts])), moments
+
+
+def _chain(
+    dealt: DataFrame, model: Encoder, moments: np.ndarray, done: int, steps: int, each: int, lr: float, decay: float, settings: str
+) -> DataFrame:
+    """One epoch as tasks that follow one another, each with ``each`` steps: the losses of all and the last one's model."""
+    spark = dealt.sparkSession
+    links = -(-steps // each)
+    path, taken_path = scratch_path(spark, "links"), scratch_path(spark, "taken")
+    # A folder for each link, with its rows in one file.
+    numbered = dealt.withColumn("link", F.floor(F.col("step") / F.lit(each)).cast("int")).repartitionById(links, "link")
+    numbered.write.partitionBy("link").parquet(path)
+    kinds, folders = dealt.schema, []
+    for link in range(links):
+        taken = range(link * each, min(steps, (link + 1) * each))
+        rows = spark.read.schema(kinds).parquet(f"{path}/link={link}").coalesce(1)
+        rows = rows.sortWithinPartitions("step", "share", "place").select("v", "step", "share")
+        folders.append(f"{taken_path}/{link}")
+        rows.mapInArrow(_epoch(model, moments, done, taken, lr, decay, settings, True), _SCHEMA).write.parquet(folders[-1])
+        last = spark.read.schema(_SCHEMA).parquet(folders[-1]).filter("chunk IS NOT NULL")
+        if taken.stop < steps:
+            model, moments = _unpacked(model, _model(last))
+    return spark.read.schema(_SCHEMA).parquet(*folders).filter("step IS NOT NULL").unionByName(last)
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
     mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
@@ -177,11 +219,11 @@ def autoencoder_fit_synchronous(
     """Fit an autoencoder with joint batches; returns the model and its loss curve ``epoch, step, n_rows, loss``.
 
     ``loss`` is the mean squared error of a batch before its step. ``batch`` rows make a step, cut into shares of about
-    ``share_rows``; there are at most as many tasks as shares, and at most ``workers`` (by default, the cluster's slots),
-    which must all run at once. Each step sends one gradient a share, of the size set by ``layers``, through the barrier,
-    which Spark polls once a second: a step of several tasks takes a second at least. So more data wants a larger
-    ``batch``, which more tasks then work on; a batch of one share needs one task and no barrier. Barrier stages need a
-    fixed number of executors.
+    ``share_rows``; there are at most as many tasks as shares, and at most ``workers``, which must all run at once. Each step
+    sends one gradient a share, of the size set by ``layers``, through the barrier, which Spark polls once a second: a step
+    of several tasks takes a second at least. Without ``workers`` there are as many tasks as the cluster has slots if a batch
+    is work for more than a second, else one at a time, with a small part of the rows each and no barrier. The result is the
+    same either way. Barrier stages need a fixed number of executors.
 
     ``path`` names a folder for the epochs' tables; a fit with the same settings and as many rows goes on after the epochs
     found there, one with others is an error. Rows without a vector are left out; a vector of another width than
@@ -198,7 +240,9 @@ def autoencoder_fit_synchronous(
         return model, curve
     steps = -(-rows // batch)
     shares = max(1, -(-batch // share_rows))
-    tasks = max(1, min(shares, workers or spark.sparkContext.defaultParallelism))
+    # Forward, and twice as much backward.
+    work = 3 * batch * sum(w.size for w in model.weights)
+    tasks = max(1, min(shares, workers or (spark.sparkContext.defaultParallelism if work > _SECOND else 1)))
     settings = repr((tuple(layers), hidden, bottleneck, output, lr, weight_decay, batch, seed, share_rows, rows))
     root = (path or scratch_path(spark, "training")).rstrip("/")
     ranked = None
@@ -215,19 +259,21 @@ def autoencoder_fit_synchronous(
                     F.pmod(F.floor(F.col("place") / F.lit(steps)), F.lit(shares)).cast("int").alias("share"),
                     "place",
                 )
-                .repartitionById(tasks, F.pmod("share", F.lit(tasks)))
-                .sortWithinPartitions("step", "share", "place")
-                .select("v", "step", "share")
             )
-            run = _epoch(model, moments, epoch * steps, steps, lr, weight_decay, settings, alone=tasks == 1)
-            dealt.mapInArrow(run, _SCHEMA, barrier=tasks > 1).write.mode("overwrite").parquet(target)
+            if tasks == 1:
+                each = max(1, max(_LINK_ROWS, -(-rows // _LINKS)) // batch)
+                trained = _chain(dealt, model, moments, epoch * steps, steps, each, lr, weight_decay, settings)
+            else:
+                shared = dealt.repartitionById(tasks, F.pmod("share", F.lit(tasks)))
+                shared = shared.sortWithinPartitions("step", "share", "place").select("v", "step", "share")
+                run = _epoch(model, moments, epoch * steps, range(steps), lr, weight_decay, settings, alone=False)
+                trained = shared.mapInArrow(run, _SCHEMA, barrier=True)
+            trained.write.mode("overwrite").parquet(target)
         stored = spark.read.schema(_SCHEMA).parquet(target)
-        # The rows of one model and its moments: their number is fixed by ``layers``.
-        parts = stored.filter("chunk IS NOT NULL").orderBy("chunk").collect()
+        parts = _model(stored)
         if parts[0]["settings"] != settings:
             raise ValueError(f"{target} was trained with other settings: {parts[0]['settings']}")
-        model = model.with_flat(np.concatenate([p["params"] for p in parts]))
-        moments = np.stack([np.concatenate([p[name] for p in parts]) for name in ("first", "second")])
+        model, moments = _unpacked(model, parts)
     if epochs:
         number = F.regexp_extract(F.col("_metadata.file_path"), "/epoch-([0-9]+)/[^/]*$", 1).cast("int")
         folders = [f"{root}/epoch-{epoch + 1:06d}" for epoch in range(epochs)]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import driftmap as dm
+from driftmap.operators import training
 from driftmap.operators.encoder import Encoder
 from driftmap.operators.training import _permutation
 
@@ -59,6 +60,27 @@ def test_does_not_depend_on_tasks_or_partitions(vectors):
     assert (one.flat() == many.flat()).all()
 
 
+@pytest.mark.parametrize("link_rows", [60, 1 << 15])
+def test_small_batches_pay_no_barrier(vectors, monkeypatch, link_rows):
+    monkeypatch.setattr(training, "_LINK_ROWS", link_rows)
+    monkeypatch.setattr(training, "BarrierTaskContext", None)
+    monkeypatch.setattr(type(vectors), "mapInArrow", no_barrier(type(vectors).mapInArrow))
+    model, curve = dm.autoencoder_fit_synchronous(vectors, [6, 4, 2], epochs=2, share_rows=8, **SHAPE)
+    flat, want = in_one_place(vectors, 2)
+    got = sorted(map(tuple, curve.collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], rel=1e-10)
+    assert model.flat() == pytest.approx(flat, rel=1e-9, abs=1e-12)
+
+
+def no_barrier(real):
+    def run(df, f, schema, barrier=False, **other):
+        assert not barrier
+        return real(df, f, schema, barrier, **other)
+
+    return run
+
+
 def test_goes_on_after_the_last_epoch(vectors, tmp_path):
     path = str(tmp_path / "fit")
     fit = lambda epochs, **other: dm.autoencoder_fit_synchronous(
