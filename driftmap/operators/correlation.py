@@ -12,7 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftmap.operators.scale import cut_counting, hot_hashes, lookup, running_total
+from driftmap.operators import scale
+from driftmap.operators.scale import cut, lookup, running_total
+
+#: Ranks of at most so many values are broadcast to the rows.
+_FEW_VALUES = 10_000
 
 
 def _upper_tail(t: float, dof: float) -> float:
@@ -118,60 +122,65 @@ def _pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of average ranks, from counts of distinct values and of distinct pairs of values.
+    """Pearson correlation of average ranks; ranks are taken among the rows complete in a pair of columns.
 
-    Ranks are taken among the rows complete in a pair of columns, by a distributed running total per pair and side.
+    A pass counts each column's values, and with them the rows in which each other column is present. Running totals of these
+    counts are ranks; a column has ranks of its own for a partner only if that one leaves out some of its rows. Each row then
+    looks up the ranks of its values, once a column, and one aggregation sums all pairs.
     """
-    present = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-    parts = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), present(cols[i]).alias("va"), present(cols[j]).alias("vb"))
-        for i, j in combinations(range(len(cols)), 2)
-    ]
-    alone = df.agg(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.when(F.min(present(c)) < F.max(present(c)), 1.0).alias("r"), F.count(present(c)).alias("n"))
-                for i, c in enumerate(cols)
-            ]
-        ).alias("_rows")
-    ).select(F.inline("_rows"))
-    if not parts:
-        return alone
-    pairs, seen = cut_counting(
-        df.select(F.inline(F.array(*parts)))
-        .filter(F.col("va").isNotNull() & F.col("vb").isNotNull())
-        .groupBy("i", "j", "va", "vb")
-        .agg(F.count("*").alias("n"))
-    )
-    sides = F.inline(
-        F.array(
-            F.struct(F.lit("a").alias("side"), F.col("va").alias("value")),
-            F.struct(F.lit("b").alias("side"), F.col("vb").alias("value")),
-        )
+    k = len(cols)
+    zero = F.lit(0.0)  # added, it makes a negative zero a positive one
+    rows = df.select(*[(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) + zero).alias(f"v{i}") for i, c in enumerate(cols)])
+    entries = [F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("value"), *[F.col(f"v{j}").isNotNull().alias(f"p{j}") for j in range(k)]) for i in range(k)]
+    counts = cut(
+        rows.select(F.inline(F.array(*entries)))
+        .filter(F.col("value").isNotNull())
+        .groupBy("i", "value")
+        .agg(*[F.count_if(f"p{j}").alias(f"n{j}") for j in range(k)])
     )
-    group = ["i", "j", "side"]
-    values = pairs.select("i", "j", "n", sides).groupBy(*group, "value").agg(F.sum("n").alias("n"))
-    ranked = running_total(values, ["value"], "n", "before", groups=group).select(
-        *group, "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")
+    # One row for each column.
+    totals = {
+        r["i"]: r
+        for r in counts.groupBy("i")
+        .agg(F.count(F.lit(1)).alias("values"), *[F.sum(f"n{j}").alias(f"n{j}") for j in range(k)])
+        .collect()
+    }
+    n = lambda i, j: totals[i][f"n{j}"] if i in totals else 0
+    alone = df.sparkSession.createDataFrame(
+        [(i, i, 1.0 if i in totals and totals[i]["values"] > 1 else None, n(i, i)) for i in range(k)], "i int, j int, r double, n bigint"
     )
-    side = lambda s, value, rank: ranked.filter(F.col("side") == s).select(
-        "i", "j", F.col("value").alias(value), F.col("rank").alias(rank)
-    )
-    by_a, by_b = ["i", "j", "va"], ["i", "j", "vb"]
-    hot_a, hot_b = (hot_hashes(pairs, by, at_most=seen["rows"]) for by in (by_a, by_b))
-    both = lookup(pairs, side("a", "va", "ra"), by_a, "inner", hot=hot_a)
-    both = lookup(both, side("b", "vb", "rb"), by_b, "inner", hot=hot_b)
-    size = pairs.groupBy("i", "j").agg(F.sum("n").alias("size"))
-    # One row per pair of columns; the mean rank is known, so sums are taken around it.
-    a, b, n = F.col("ra") - (F.col("size") + 1) / 2, F.col("rb") - (F.col("size") + 1) / 2, F.col("n")
-    sums = (
-        both.join(F.broadcast(size), ["i", "j"])
-        .groupBy("i", "j")
-        .agg(
-            F.sum(n * a * b).alias("ab"), F.sum(n * a * a).alias("aa"), F.sum(n * b * b).alias("bb"),
-            F.sum("n").alias("n"),
+    pairs = [(i, j) for i, j in combinations(range(k), 2) if n(i, j)]
+    if not pairs:
+        return alone
+    #: The partner for whose sake a column has other ranks, or the column itself.
+    among = lambda i, j: i if n(i, j) == n(i, i) else j
+    wanted = sorted({(i, among(i, j)) for i, j in pairs} | {(j, among(j, i)) for i, j in pairs})
+    sets = F.array(*[F.struct(F.lit(j).alias("j"), F.when(F.col("i") == i, F.col(f"n{j}")).alias("n")) for i, j in wanted])
+    listed = counts.select("i", "value", F.inline(sets)).filter("n > 0")
+    ranked = running_total(listed, ["value"], "n", "before", groups=["i", "j"])
+    by_value = cut(
+        ranked.groupBy("i", "value").agg(
+            *[F.max(F.when(F.col("j") == j, F.col("before") + (F.col("n") + 1) / 2)).alias(f"r{j}") for j in range(k)]
         )
     )
+    # Few values first: they meet the rows where they are.
+    for i in sorted({i for i, _ in wanted}, key=lambda i: (totals[i]["values"], i)):
+        kept = [F.col(f"r{j}").alias(f"r{i}_{j}") for a, j in wanted if a == i]
+        ranks = by_value.filter(F.col("i") == i).select(F.col("value").alias(f"v{i}"), *kept)
+        if totals[i]["values"] <= _FEW_VALUES:
+            rows = rows.join(F.broadcast(ranks), f"v{i}", "left")
+        else:
+            often = counts.filter((F.col("i") == i) & (F.col(f"n{i}") > max(scale.HOT_ROWS, n(i, i) // scale.HOT_GROUPS)))
+            hot = [r["h"] for r in often.select(F.xxhash64("value").alias("h")).collect()]  # at most HOT_GROUPS
+            rows = lookup(rows, ranks, [f"v{i}"], "left", hot=sorted(hot))
+    # The mean rank is known, so sums are taken around it.
+    parts = []
+    for i, j in pairs:
+        both = F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull()
+        a, b = (F.when(both, F.col(f"r{x}_{among(x, y)}") - (n(i, j) + 1) / 2) for x, y in ((i, j), (j, i)))
+        sums = [F.sum(a * b), F.sum(a * a), F.sum(b * b)]
+        parts.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[x.alias(y) for x, y in zip(sums, ("ab", "aa", "bb"))], F.lit(n(i, j)).cast("bigint").alias("n")))
+    sums = rows.agg(F.array(*parts).alias("_rows")).select(F.inline("_rows"))
     spread = F.nullif(F.sqrt(F.col("aa")) * F.sqrt(F.col("bb")), F.lit(0.0))
     r = F.when(spread.isNotNull(), F.least(F.greatest(F.col("ab") / spread, F.lit(-1.0)), F.lit(1.0)))
     return sums.select("i", "j", r.alias("r"), "n").unionByName(alone)
