@@ -1,14 +1,16 @@
 """Bisecting k-means for every number of clusters at once.
 
 Clusters are split in two by 2-means, the largest first. Whatever the number of clusters asked for, a cluster is always split
-the same way, so all results are cuts of one tree: that for ``k`` clusters follows from the sizes alone. A level of the tree is
-grown at a time: all clusters that may be among the ``k - 1`` largest are split in the same passes over the rows. Rows are
-never rewritten; each finds its cluster by walking down the tree, which is broadcast and has at most ``2 * k`` centres, and
-tasks return partial sums of the clusters that are being split.
+the same way, so all results are cuts of one tree: that for ``k`` clusters follows from the sizes alone. Large clusters are
+split a level at a time: all that may be among the ``k - 1`` largest share the same passes over the rows, whose number follows
+from the levels and rounds. Each row finds its cluster by walking down the tree, which is broadcast and has a small multiple of
+``k`` nodes, and tasks return partial sums of the clusters that are being split. A cluster of at most ``_AT_ONCE`` values meets
+in a task, which splits it and its parts without further passes; such clusters are dealt out over the tasks of one shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator, Sequence
 
@@ -19,10 +21,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmap.operators.scale import cut
+from driftmap.operators.scale import cut, cut_counting
 
 #: A cluster whose variance is less than this part of its mean square is a point but for rounding, and is not split.
 _LEAST_SPREAD = 1e-13
+#: Values, rows by dimensions, of the clusters that a task may hold as wholes, and rows of a task in a pass over all of them.
+_AT_ONCE, _TASK_ROWS = 1 << 20, 1 << 14
 
 
 class SplitTree:
@@ -138,9 +142,93 @@ def _sums(rows: DataFrame, tree: SplitTree | None, centers: dict[int, np.ndarray
     return found
 
 
+def _two_means(matrix: np.ndarray, center: np.ndarray, start: np.ndarray, max_iter: int) -> tuple | None:
+    """The last two centres with rows on both sides, and the rows of the second; None if there are none."""
+    centers, kept = (center - start, center + start), None
+    for _ in range(max_iter):
+        right = _nearer(matrix, *centers)
+        if right.all() or not right.any():
+            break
+        kept = centers, right
+        now = tuple(part.sum(0) / len(part) for part in (matrix[~right], matrix[right]))
+        if all(np.array_equal(a, b) for a, b in zip(now, centers)):
+            break
+        centers = now
+    return kept
+
+
+def _split_within(rows: DataFrame, tree: SplitTree, active: list[int], k: int, max_iter: int) -> None:
+    """Split small clusters and those of their parts that are above the mean size of ``k - 1``, each cluster in one task.
+
+    A cluster is split in at most twice its share of ``k - 1`` splits, so all return less than ``2 * k`` besides the first of each.
+    """
+    most = {n: 1 + 2 * (k - 1) * tree.size[n] // tree.size[0] for n in active}
+    facts = {n: (tree.size[n], tree.center[n], tree.start[n], most[n]) for n in active}
+    shared = rows.sparkSession.sparkContext.broadcast((tree, facts))
+    everything = tree.size[0]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wanted = shared.value
+        for batch in batches:
+            at = known.walk(_matrix(batch.column("vector")))
+            inside = np.isin(at, list(wanted))
+            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("vector")], ["at", "vector"]).filter(pa.array(inside))
+
+    def split(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node = table.column("at")[0].as_py()
+        matrix = _matrix(table.column("vector").chunk(0))
+        size, center, start, left = shared.value[1][node]
+        found, open_ = [], [(-size, 0, "", center, start, matrix)]
+        while open_ and left:
+            _, depth, path, center, start, inside = heapq.heappop(open_)
+            if path and len(inside) * (k - 1) < everything:
+                break
+            kept, left = _two_means(inside, center, start, max_iter), left - 1
+            if kept is None:
+                found.append((path, [], [], [], []))
+                continue
+            ways, right = kept
+            parts = inside[~right], inside[right]
+            sides = [_facts(len(p), p.sum(0), (p * p).sum(0)) for p in parts]
+            wide = [-1 if f[2] is None else int(np.argmax(f[2])) for f in sides]
+            steps = [0.0 if f[2] is None else float(f[2].max()) for f in sides]
+            found.append((path, [len(p) for p in parts], np.concatenate([*ways, *[f[1] for f in sides]]), wide, steps))
+            for digit, part, (n, middle, step) in zip("01", parts, sides):
+                if step is not None:
+                    heapq.heappush(open_, (-n, depth + 1, path + digit, middle, step, part))
+        columns = [[node] * len(found), range(len(found)), *zip(*found)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+    kinds = pa.schema(
+        [("at", pa.int64()), ("step", pa.int32()), ("path", pa.string()), ("n", pa.list_(pa.int64())), ("v", pa.list_(pa.float64())),
+         ("wide", pa.list_(pa.int32())), ("start", pa.list_(pa.float64()))]
+    )
+    vector = dict(rows.dtypes)["vector"]
+    placed = rows.mapInArrow(place, f"at bigint, vector {vector}").repartition(2 * len(active), "at")
+    splits = placed.groupBy("at").applyInArrow(
+        split, "at bigint, step int, path string, n array<bigint>, v array<double>, wide array<int>, start array<double>"
+    )
+    numbers = {path: n for n, path in enumerate(tree.path)}
+    for r in sorted(splits.collect(), key=lambda r: (r["at"], r["step"])):
+        node = numbers[tree.path[r["at"]] + r["path"]]
+        if not r["n"]:
+            tree.whole.add(node)
+            continue
+        a, b, *middles = np.split(np.array(r["v"]), 4)
+        starts = []
+        for wide, step in zip(r["wide"], r["start"]):
+            starts.append(None if wide < 0 else np.zeros(len(a)))
+            if wide >= 0:
+                starts[-1][wide] = step
+        tree.add(node, (a, b), list(zip(r["n"], middles, starts)))
+        for part in tree.parts[node]:
+            numbers[tree.path[part]] = part
+
+
 def fit_splits(df: DataFrame, k: int, col: str = "embedding", max_iter: int = 30) -> SplitTree | None:
     """The tree of splits that holds the cuts into 1 to ``k`` clusters; None without rows. Vectors have one length."""
-    return _grow(cut(_prepared(df, col)), k, max_iter)
+    return _grow(_spread(df, col), k, max_iter)
 
 
 def _grow(rows: DataFrame, k: int, max_iter: int) -> SplitTree | None:
@@ -148,9 +236,14 @@ def _grow(rows: DataFrame, k: int, max_iter: int) -> SplitTree | None:
     if everything is None:
         return None
     tree = SplitTree(*_facts(*everything))
+    small = _AT_ONCE // max(len(tree.center[0]), 1)
     while active := tree.wanted(k):
-        centers = {n: (tree.center[n] - tree.start[n], tree.center[n] + tree.start[n]) for n in active}
-        moving, sides = set(active), {}
+        large = [n for n in active if tree.size[n] > small]
+        if not large:
+            _split_within(rows, tree, active, k, max_iter)
+            continue
+        centers = {n: (tree.center[n] - tree.start[n], tree.center[n] + tree.start[n]) for n in large}
+        moving, sides = set(large), {}
         for _ in range(max_iter):
             found = _sums(rows, tree, {n: centers[n] for n in moving})
             for n in list(moving):
@@ -165,7 +258,7 @@ def _grow(rows: DataFrame, k: int, max_iter: int) -> SplitTree | None:
                 centers[n] = now
             if not moving:
                 break
-        for n in active:
+        for n in large:
             if n in sides:
                 tree.add(n, sides[n][0], [_facts(*b) for b in sides[n][1]])
             else:
@@ -173,6 +266,12 @@ def _grow(rows: DataFrame, k: int, max_iter: int) -> SplitTree | None:
     return tree
 
 
+def _spread(df: DataFrame, col: str) -> DataFrame:
+    """The vectors in files of like size, however those of the input are cut, so that every pass has work for all cores."""
+    rows, seen = cut_counting(_prepared(df, col))
+    return cut(rows.repartition(max(1, -(-seen["rows"] // _TASK_ROWS))))
+
+
 def _prepared(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col).isNotNull()).select(F.col(col).alias("vector"))
 
@@ -206,7 +305,7 @@ def sweep_splits(df: DataFrame, ks: Sequence[int], col: str = "embedding", max_i
     The silhouette is that of cosine distances, in linear time: the mean distance of a row to a cluster follows from the
     cluster's sum of unit vectors, and sums of all clusters of all cuts are sums over the tree's leaves.
     """
-    rows = cut(_prepared(df, col))
+    rows = _spread(df, col)
     tree = _grow(rows, max(ks), max_iter)
     spark, kinds = df.sparkSession, "algo string, k int, k_actual int, silhouette double"
     if tree is None:

@@ -5,6 +5,7 @@ import pytest
 
 import driftmap as dm
 from driftmap.functions.vectors import to_features
+from driftmap.operators import splits
 from driftmap.operators.cluster import silhouette_score
 
 KS = (2, 3, 5, 12, 40)
@@ -72,3 +73,17 @@ def test_few_equal_and_no_rows(spark):
     assert (one.k_actual, one.silhouette) == (1, None)
     none = dm.sweep_splits(spark.createDataFrame([], schema), [2]).head()
     assert (none.k_actual, none.silhouette) == (0, None) and dm.fit_splits(spark.createDataFrame([(1, None)], schema), 3) is None
+
+
+def test_small_clusters_are_split_in_one_task_without_more_passes(df, vectors, monkeypatch):
+    passes = []
+    real = splits._sums
+    monkeypatch.setattr(splits, "_sums", lambda *a: passes.append(1) or real(*a))
+    small = labels(df, dm.fit_splits(df, max(KS)), KS)
+    assert len(passes) == 1  # the size and mean of all rows
+    # A limit of so few rows lets some levels take passes, and with none all do.
+    monkeypatch.setattr(splits, "_AT_ONCE", 60 * vectors.shape[1])
+    assert labels(df, dm.fit_splits(df, max(KS)), KS) == small
+    monkeypatch.setattr(splits, "_AT_ONCE", 0)
+    assert labels(df, dm.fit_splits(df, max(KS)), KS) == small
+    assert len(passes) > 20
