@@ -21,9 +21,11 @@ repeated rows stand side by side; an empty table gives files without blocks; oth
 from __future__ import annotations
 
 import re
+import sys
+import types
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ END_ID = 0
 #: Ids per block at least, unless the part ends; ids between checkpoints; longest code.
 BLOCK, STEP, MOST_BITS = 1 << 18, 256, 18
 _LATIN = 0x250
+#: Pieces of which an encoder keeps the ids, twice; the module in which a process keeps its encoders.
+_PIECES, _KEPT = 400_000, "_driftmap_token_encoders"
 
 
 def _characters(*kinds: str) -> str:
@@ -44,6 +48,24 @@ def _characters(*kinds: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(_LATIN) if unicodedata.category(chr(c))[0] in kinds)
 
 
+class _PieceIds(dict):
+    """Ids by piece, asked for when first met. Pieces met again outlive the others: those not met since ``_PIECES`` new ones go."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        super().__init__()
+        self.ask, self.older = ask, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.ask(piece)
+        if len(self) >= _PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Ids of texts as little-endian bytes, from the tokenizer file at ``path``."""
 
@@ -60,8 +82,9 @@ class PieceEncoder:
             f"|[{space}]+(?![^{space}])|[{space}]+"
         )
         self.foreign = re.compile(f"[^\\x00-{chr(_LATIN - 1)}]")
-        self.known: dict[str, bytes] = {}
         self.signs = self._byte_signs()
+        self.one = [np.array([i], self.dtype).tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        self.known = _PieceIds(self._piece_ids)
         self.by_piece = self._agrees()
 
     @staticmethod
@@ -80,19 +103,10 @@ class PieceEncoder:
 
     def _piece_ids(self, piece: str) -> bytes:
         named = piece.encode().decode("latin-1").translate(self.signs)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(named)], self.dtype).tobytes()
+        return b"".join([self.one[t.id] for t in self.tokenizer.model.tokenize(named)])
 
     def _by_piece(self, text: str) -> bytes:
-        known, found = self.known, self.pieces.findall(text)
-        try:
-            return b"".join([known[p] for p in found])
-        except KeyError:
-            if len(known) > 600_000:
-                known.clear()
-            for p in found:
-                if p not in known:
-                    known[p] = self._piece_ids(p)
-            return b"".join([known[p] for p in found])
+        return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
 
     def _agrees(self) -> bool:
         """Whether splitting here gives the ids that the library gives for whole texts, tried on every character."""
@@ -101,18 +115,21 @@ class PieceEncoder:
         return "".join(self.pieces.findall(probe)) == probe and self._by_piece(probe) == self._ids(probe)
 
     def encode(self, text: str) -> bytes:
-        if self.by_piece and not self.foreign.search(text) and not any(s in text for s in self.special):
+        if self.by_piece and (text.isascii() or not self.foreign.search(text)) and not any(s in text for s in self.special):
             return self._by_piece(text)
         return self._ids(text)
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def _encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    """The encoder that this process keeps for ``path``, with its answers.
+
+    The package goes to Python workers inside each task, so globals of its modules start anew with every one; those of a module
+    that the interpreter lists stay as long as the worker does.
+    """
+    kept = vars(sys.modules.setdefault(_KEPT, types.ModuleType(_KEPT)))
+    if path not in kept:
+        kept[path] = PieceEncoder(path)
+    return kept[path]
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -154,6 +171,8 @@ class Code:
         self.code, self.length = np.zeros(size, np.uint64), np.zeros(size, np.int64)
         self.code[self.ids] = (starts >> (self.longest - self.bits)).astype(np.uint64)
         self.length[self.ids] = self.bits
+        # Codes at the left of a word, to be moved right by the place at which they begin.
+        self.left = self.code << (64 - self.length).clip(max=63).astype(np.uint64)
         # One entry for every string of ``longest`` bits: the id that it starts with, and its length.
         self.table_id = np.zeros(1 << self.longest, np.uint32)
         self.table_bits = np.ones(1 << self.longest, np.uint8)
@@ -165,18 +184,16 @@ class Code:
         """Payload, checkpoints, and number of bits."""
         if not len(ids):
             return b"", np.zeros(0, np.int64), 0
-        length, code = self.length[ids], self.code[ids]
+        length = self.length[ids]
         ends = np.cumsum(length)
         starts = ends - length
-        word, room = starts >> 6, 64 - (starts & 63) - length
+        word, inside = starts >> 6, starts & 63
         out = np.zeros(int(ends[-1] >> 6) + 2, np.uint64)
-        whole = np.where(
-            room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64)
-        )
+        whole = self.left[ids] >> inside.view(np.uint64)
         first = np.flatnonzero(np.diff(word, prepend=-1))
         out[word[first]] = np.add.reduceat(whole, first)
-        over = np.flatnonzero(room < 0)
-        out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+        over = np.flatnonzero(inside + length > 64)
+        out[word[over] + 1] |= self.left[ids[over]] << (64 - inside[over]).astype(np.uint64)
         bits = int(ends[-1])
         return out.astype(">u8").tobytes()[: (bits + 7) // 8], starts[::STEP], bits
 

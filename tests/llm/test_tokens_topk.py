@@ -1,11 +1,14 @@
 import heapq
 import math
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -29,6 +32,22 @@ def test_pieces_give_the_librarys_ids(tokenizer, rows):
         assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == want
 
 
+def test_encoders_outlive_the_tasks_that_bring_the_code(tmp_path):
+    # As on a worker, the package is not there: the function comes pickled with each task, globals included.
+    brought = "import pickle, sys; b = sys.stdin.buffer.read(); x, y = (pickle.loads(b)(sys.argv[1]) for _ in 'ab'); assert x is y"
+    command = [sys.executable, "-c", brought, PATH]
+    subprocess.run(command, input=cloudpickle.dumps(tf._encoder), cwd=tmp_path, check=True, timeout=120)
+
+
+def test_few_kept_pieces_give_the_same_ids(tokenizer, rows, monkeypatch):
+    monkeypatch.setattr(tf, "_PIECES", 50)
+    encoder = tf.PieceEncoder(PATH)
+    for text in [r[1] or "" for r in rows]:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == want
+        assert len(encoder.known) <= 50 and len(encoder.known.older) <= 50
+
+
 def test_files_round_trip(spark, docs, rows, tokenizer, tmp_path):
     path = str(tmp_path / "tokens")
     tf.write_tokens(docs, path, PATH)
