@@ -9,7 +9,8 @@ The grid cell has the diagonal ``eps``, so all points of one cell are neighbours
   far from each other; the few pairs of cells left over are split into finer cells, or compared point by point once
   they are small. No hot cell is ever paired with itself or gathered in one task.
 
-Internal tables carry a level ``g``, so that one pass serves many radii at once; DBSCAN is the case of one level.
+Internal tables carry a level ``g``, so that one pass serves many radii at once; DBSCAN is the case of one level. For many
+radii, a point's core distance, found once, says at which levels it is a core point.
 """
 
 from __future__ import annotations
@@ -137,6 +138,15 @@ def _gap(a: str, b: str) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def _ahead_within_reach() -> Column:
+    """Whether the cell ``dx, dy`` ahead comes as close to the cell's points as its link, with room for rounding."""
+    side, zero = F.col("link") * CELL_WIDTH, F.lit(0.0)
+    low = lambda c: (F.col(f"l{c}") + F.col(f"d{c}")) * side
+    gap = lambda c, first, last: F.greatest(low(c) - F.col(f"cell.{last}.{c}"), F.col(f"cell.{first}.{c}") - low(c) - side, zero)
+    gx, gy = gap("x", "w", "e"), gap("y", "s", "t")
+    return F.sqrt(gx * gx + gy * gy) <= F.col("link") * (1 + 1e-6)
+
+
 def _closest_extremes(a: str, b: str) -> Column:
     """Least distance between the extreme points of two cells."""
     distances = []
@@ -148,8 +158,8 @@ def _closest_extremes(a: str, b: str) -> Column:
     return F.least(*distances)
 
 
-def _links(core: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Cells of core points, and the pairs of cells with two points within ``link`` of each other.
+def _links(core: DataFrame, rows: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Cells of core points, and the pairs of cells with two points within ``link`` of each other, some more than once.
 
     Returns the cells as ``g, lx, ly, rep`` and the links as ``a, b``, structs of level and smallest id of a cell.
     """
@@ -158,7 +168,7 @@ def _links(core: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
 
     # Half of the cells around each, so that a pair appears once.
     ahead = cells.select("*", _offsets("dx")).select("*", _offsets("dy"))
-    ahead = ahead.filter((F.col("dx") > 0) | ((F.col("dx") == 0) & (F.col("dy") > 0)))
+    ahead = ahead.filter((F.col("dx") > 0) | ((F.col("dx") == 0) & (F.col("dy") > 0))).filter(_ahead_within_reach())
     first = ahead.select(
         "g",
         "link",
@@ -175,7 +185,7 @@ def _links(core: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     depth = 0
     while seen["small"] or seen["large"]:
         if seen["small"]:
-            links.append(_compare_points(small, core, depth, rows))
+            links.append(_compare_points(small, core, depth, rows, most))
             large = large.join(links[-1], ["a", "b"], "left_anti")
         if not seen["large"]:
             break
@@ -186,7 +196,7 @@ def _links(core: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     merged = links[0]
     for more in links[1:]:
         merged = merged.unionByName(more)
-    return cells, merged.distinct()
+    return cells, merged
 
 
 def _judge(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
@@ -200,7 +210,7 @@ def _judge(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[str,
         large=~linked & ~small,
     )
     return (
-        judged.filter(linked).select("a", "b").distinct(),
+        judged.filter(linked).select("a", "b"),
         judged.filter(~linked & small).drop("_linked"),
         judged.filter(~linked & ~small).drop("_linked"),
         seen,
@@ -238,7 +248,7 @@ def _split(pairs: DataFrame, core: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def _compare_points(pairs: DataFrame, core: DataFrame, depth: int, rows: int) -> DataFrame:
+def _compare_points(pairs: DataFrame, core: DataFrame, depth: int, rows: int, most: int) -> DataFrame:
     """Links among small pairs, from their points; a pair brings at most ``_SMALL`` combinations."""
     # Only the cells of open pairs; none of them has more than _SMALL points, so the semi-join also keeps hot cells out.
     open_cells = pairs.select("g", F.col("ka").alias("k")).union(pairs.select("g", F.col("kb").alias("k"))).distinct()
@@ -248,6 +258,7 @@ def _compare_points(pairs: DataFrame, core: DataFrame, depth: int, rows: int) ->
         ["g", "k"],
         "inner",
         at_most=rows,
+        most=most,
     ).drop("_open")
     at = lambda s: points.select(
         "g", F.col("k").alias(f"k{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}")
@@ -257,15 +268,18 @@ def _compare_points(pairs: DataFrame, core: DataFrame, depth: int, rows: int) ->
     return cut(met.filter(F.sqrt(dx * dx + dy * dy) <= F.col("link")).select("a", "b").distinct())
 
 
-def _components(core: DataFrame, rows: int) -> DataFrame:
-    """Add ``component``, the smallest id among the core points connected to each core point at its level."""
+def _components(core: DataFrame, rows: int, most: int) -> DataFrame:
+    """Add ``component``, the smallest id among the core points connected to each core point at its level.
+
+    There are at most ``rows`` core points, and at most ``most`` at one level.
+    """
     side = F.col("link") * CELL_WIDTH
     placed = core.withColumns({"lx": _index("x", side), "ly": _index("y", side)})
-    cells, links = _links(placed, rows)
-    joined = connected_components(links)
+    cells, links = _links(placed, rows, most)
+    joined = connected_components(links, most)
     labelled = cells.select(*_AREA, F.struct("g", "rep").alias("node")).join(joined, "node", "left")
     labels = labelled.select(*_AREA, F.coalesce("component.rep", "node.rep").alias("component"))
-    return lookup(placed, labels, _AREA, "inner", at_most=rows).drop("lx", "ly")
+    return lookup(placed, labels, _AREA, "inner", at_most=rows, most=most).drop("lx", "ly")
 
 
 def _one_level(points: DataFrame, eps: float) -> DataFrame:
@@ -311,7 +325,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     as a scan in id order would do. Points without coordinates are noise.
     """
     flagged, rows = _core_flags(_one_level(points, eps), min_samples)
-    core = cut(_components(flagged.filter("core"), rows).select("g", "id", "x", "y", "cx", "cy", "component"))
+    core = cut(_components(flagged.filter("core"), rows, rows).select("g", "id", "x", "y", "cx", "cy", "component"))
     border = (
         _near(_as_queries(flagged.filter(~F.col("core"))), core, min_samples, rows)
         .groupBy("qid")
@@ -368,11 +382,21 @@ def density_levels(
     A point is dense at a radius if its ``min_samples``-th other point lies within it; dense points are joined if they
     lie within ``alpha`` times the radius. Components at one level are unions of those at the next.
     """
+    # That module takes its clusters from this one.
+    from driftmap.operators.hierarchy import core_distances
+
     steps = F.array(*[F.struct(F.lit(i).alias("g"), F.lit(float(r)).alias("r")) for i, r in enumerate(radii)])
-    levelled = usable_points(points).select("id", "x", "y", F.inline(steps))
-    levelled = levelled.withColumn("link", F.col("r") * float(alpha))
-    flagged, rows = _core_flags(levelled, min_samples + 1)
-    return cut(_components(flagged.filter("core").drop("cx", "cy"), rows).select("g", "id", "component"))
+    at_levels = lambda df: df.select("*", F.inline(steps)).withColumn("link", F.col("r") * float(alpha))
+    usable, seen = cut_counting(usable_points(points))
+    by_id = usable.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    if by_id.filter((F.col("n") > 1) | F.col("id").isNull()).isEmpty():
+        known = usable.join(core_distances(usable, min_samples), "id").filter(F.col("core") < math.inf)
+        core, found = cut_counting(at_levels(known).filter(F.col("core") <= F.col("r")).drop("core"))
+        rows = found["rows"]
+    else:  # ids that name no single point: neighbours are counted by id at every level
+        flagged, rows = _core_flags(at_levels(usable), min_samples + 1)
+        core = flagged.filter("core").drop("core", "cx", "cy")
+    return cut(_components(core, rows, seen["rows"]).select("g", "id", "component"))
 
 
 def density_tree(
@@ -428,7 +452,7 @@ def density_tree(
     kept = excess_of_mass(clusters)
 
     in_kept = heads.join(kept, "head", "left_semi").select("node.g", "node.component", "head")
-    held = lookup(members, cut(in_kept), ["g", "component"], "inner")
+    held = lookup(members, cut(in_kept), ["g", "component"], "inner", most=usable_rows)
     # Of nested choices the outermost wins.
     labels = held.groupBy("id").agg(F.min("head").alias("head"))
     labels = cut(labels.select("id", F.col("head.component").alias("component"), F.col("head.g").alias("g")))

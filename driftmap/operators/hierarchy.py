@@ -39,6 +39,8 @@ from driftmap.operators.scale import cut, cut_counting, global_rank, lookup
 
 #: Places in a block (up to twice as many), children of a node, and links merged by one task.
 BLOCK, FAN, CHUNK = 512, 16, 200_000
+#: Blocks to a file, hence about to a task: few bytes, but some seconds of work. Most files of one table.
+_TOGETHER, _FILES = 8, 2_000
 
 
 def _spread(v: Column) -> Column:
@@ -89,10 +91,11 @@ def _row_map(df: DataFrame, f: Callable[[dict], list[tuple]], schema: str) -> Da
     return df.mapInArrow(run, schema)
 
 
-def _packed(places: DataFrame, cols: list[str]) -> DataFrame:
-    """``block, first`` and one array per column: the places of each block in order."""
+def _packed(places: DataFrame, cols: list[str], number: int) -> DataFrame:
+    """``block, first`` and one array per column: the places of each of ``number`` blocks in order, spread over files."""
     rows = F.array_sort(F.collect_list(F.struct("place", *cols)))
-    grouped = places.groupBy("block").agg(F.min("place").alias("first"), rows.alias("_rows"))
+    files = min(-(-number // _TOGETHER), _FILES)
+    grouped = places.repartition(files, "block").groupBy("block").agg(F.min("place").alias("first"), rows.alias("_rows"))
     return cut(grouped.select("block", "first", *[F.col(f"_rows.{c}").alias(c) for c in cols]))
 
 
@@ -148,7 +151,7 @@ def _core_blocks(places: DataFrame, count: int, min_samples: int, block: int) ->
     number = max(1, count // max(block, min_samples + 1))
     in_block = F.floor(F.col("place") * number / count).cast("bigint")
     placed = cut(places.withColumn("block", in_block))
-    blocks = _packed(placed, ["x", "y", "n"])
+    blocks = _packed(placed, ["x", "y", "n"], number)
 
     def inside(row: dict) -> list[tuple]:
         x, y, n = row["x"], row["y"], row["n"]
@@ -216,7 +219,7 @@ def _core_blocks(places: DataFrame, count: int, min_samples: int, block: int) ->
     again = merged.select("place", core.alias("again"))
     before = local.select(F.posexplode("reach").alias("i", "reach"), "first").select((F.col("first") + F.col("i")).alias("place"), "reach")
     known = placed.join(before, "place").join(again, "place", "left").withColumn("core", F.coalesce("again", "reach"))
-    return _packed(known, ["x", "y", "n", "core"]), number
+    return _packed(known, ["x", "y", "n", "core"], number), number
 
 
 def _lowest(w: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray) -> np.ndarray:

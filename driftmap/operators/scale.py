@@ -79,13 +79,16 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 
 def hot_hashes(
-    df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, at_most: int | None = None
+    df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, at_most: int | None = None, most: int | None = None
 ) -> list[int]:
     """Hashes of the keys that hold more than ``max(hot_rows, total / HOT_GROUPS)`` rows; at most ``HOT_GROUPS``.
 
-    ``at_most`` is a known upper bound of the number of rows, which saves counting them.
+    ``at_most`` is a known upper bound of the number of rows, which saves counting them; ``most`` is one of the rows of a single
+    key, which saves counting by key if it is low.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    if most is not None and most <= hot_rows:
+        return []
     hashed = df.select(key_hash(keys).alias("_key"))
     total = hashed.count() if at_most is None else at_most
     if total <= hot_rows:
@@ -109,14 +112,15 @@ def lookup(
     hot_rows: int | None = None,
     at_most: int | None = None,
     hot: Sequence[int] | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """Join ``table``, unique in ``keys``, onto ``df`` without gathering a hot key's rows in one task.
 
-    ``hot`` names the hot keys by hash if they are known.
+    ``hot`` names the hot keys by hash if they are known; ``at_most`` and ``most`` are bounds for ``hot_hashes``.
     """
     keys = list(keys)
     if hot is None:
-        hot = hot_hashes(df, keys, hot_rows, at_most)
+        hot = hot_hashes(df, keys, hot_rows, at_most, most)
     if not hot:
         return df.join(table, keys, how)
     hot_df, cold_df = split_hot(df, keys, hot)

@@ -5,6 +5,7 @@ import re
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import driftmap as dm
 from driftmap.operators import density, scale
@@ -72,6 +73,24 @@ def test_levels_and_tree(spark, paths):
     assert len(sizes) > 1 and min(sizes) >= 15
 
 
+@pytest.mark.parametrize("repeated", [0, 20])
+def test_levels_look_for_neighbours_once(spark, monkeypatch, repeated):
+    """Only ids that repeat are counted at every level."""
+    xy, radii, calls = scattered(120), [2 * 0.75**i for i in range(6)], []
+    flags, points = density._core_flags, as_points(spark, xy)
+    monkeypatch.setattr(density, "_core_flags", lambda *a: calls.append(a) or flags(*a))
+    found = dm.density_levels(points.union(points.filter(f"id < {repeated}")), radii, 5, 0.4).collect()
+    assert len(calls) == (repeated > 0)
+    assert repeated or {(r.g, r.id, r.component) for r in found} == brute.levels(xy, radii, 5, 0.4)
+
+
+def test_keys_of_few_rows_are_not_counted(spark, monkeypatch):
+    monkeypatch.setattr(scale, "HOT_ROWS", 15)
+    df = spark.createDataFrame([(i % 3,) for i in range(60)], "k int")
+    assert len(scale.hot_hashes(df, ["k"], at_most=60, most=20)) == 3
+    assert scale.hot_hashes(df.select(F.raise_error(F.lit("counted")).alias("k")), ["k"], at_most=60, most=15) == []
+
+
 def test_tree_chooses_its_own_levels(spark):
     found = labels(dm.density_tree(as_points(spark, scattered(600)), 20, 10, 0.4, levels=10))
     assert max(found) >= 1 and len(found) == 600

@@ -40,6 +40,12 @@ def test_core_distances(spark, block):
     assert found == brute.reachability(xy, 7, 1.0)[0].tolist()
 
 
+def test_blocks_are_spread_over_files(spark):
+    places, count = hierarchy._places(as_points(spark, scattered()))
+    blocks, number = hierarchy._core_blocks(places, count, 7, 10)
+    assert number > hierarchy._TOGETHER and 1 < len(blocks.inputFiles()) <= -(-number // hierarchy._TOGETHER)
+
+
 def test_tree_of_links(spark, narrow):
     xy, alpha = scattered(180), 0.4
     places, links = dm.reachability_tree(as_points(spark, xy), 5, alpha, block=30)
