@@ -74,12 +74,17 @@ def split_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
         F.lit(1).cast("bigint").alias("one"),
     )
     half = F.floor(F.col("leaves") / 2).cast("int")
+
+    def counted(slices: DataFrame) -> DataFrame:
+        """A node's blocks are the sum over its slices, so a level reads only what it wrote, not the levels before."""
+        return slices.withColumn("total", F.sum("_total").over(Window.partitionBy("first")))
+
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
         coin = F.md5(F.concat_ws(":", F.lit(seed), "first", "leaves", "label", "number"))
-        ranked = running_total(nodes.withColumn("coin", coin), ["coin", "label", "number"], "one", "rank", ["first"])
-        totals = nodes.groupBy("first").agg(F.count(F.lit(1)).alias("total"))  # at most one row per shard
+        tossed = nodes.withColumn("coin", coin)
+        ranked = running_total(tossed, ["coin", "label", "number"], "one", "rank", ["first"], keep=counted)
         goes_left = F.col("rank") < F.floor(F.col("total") * half / F.col("leaves"))
-        nodes = ranked.join(F.broadcast(totals), "first").select(
+        nodes = ranked.select(
             "label",
             "number",
             F.when(goes_left | (F.col("leaves") == 1), F.col("first")).otherwise(F.col("first") + half).alias("first"),
@@ -116,7 +121,7 @@ def plan_mix(
         )
         .withColumn("block", first_32_bits(F.col("key")) % blocks)
     )
-    units = rows.groupBy("source", "label", "block").agg(F.sum("size").alias("words"))
+    units = cut(rows.groupBy("source", "label", "block").agg(F.sum("size").alias("words")))
     sizes = units.groupBy("source", "label").agg(F.sum("words").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
 
@@ -155,6 +160,7 @@ def plan_mix(
     units_drawn = drawn.filter("copy = 0").select("label", "block", "source_size", "target").join(
         draws, ["label", "block"], "left"
     )
+    units_drawn = cut(units_drawn)  # one row per source and block; the rows below meet a table, not the plan of the tree
     inside = Window.partitionBy("label", "block").orderBy("key", "size")
     # Of the last block, the documents up to the one nearest to the target are taken.
     middle = F.col("_before") + F.col("size") / 2

@@ -182,8 +182,8 @@ def _agreement(a: str, b: str) -> str:
     return " + ".join(words)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are ``percent`` alike or more."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, at_most: int | None = None) -> DataFrame:
+    """The pairs ``a, b``, ``at_most`` so many, whose full sets are ``percent`` alike or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +197,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     first = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
     second = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
-    joined = lookup(lookup(pairs, second, ["b"], "inner"), first, ["a"], "inner")
+    joined = lookup(lookup(pairs, second, ["b"], "inner", at_most=at_most), first, ["a"], "inner", at_most=at_most)
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
@@ -351,19 +351,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, with_comp
     one = lambda c, to: short.select(
         F.col("class").alias(c), F.col("n_shingles").alias(f"n_{to}"), F.col("signature").alias(f"signature_{to}")
     )
+    # No table made of members has more rows, so none is computed just to be counted.
+    at_most = members.count()
     pairs = members.filter("pivot != class").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    likely = lookup(lookup(pairs, one("b", "b"), ["b"], "inner"), one("a", "a"), ["a"], "inner").filter(
+    signed = lookup(pairs, one("b", "b"), ["b"], "inner", at_most=at_most)
+    likely = lookup(signed, one("a", "a"), ["a"], "inner", at_most=at_most).filter(
         f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
         f" AND {_agreement('signature_a', 'signature_b')} >= {least_agreement(percent)}"
     )
-    links = stored(_confirmed(likely.select("a", "b"), sets, percent), "links")
+    likely = stored(likely.select("a", "b"), "pairs")
+    links = stored(_confirmed(likely, sets, percent, at_most), "links")
     # To begin with, a class is named by the smallest pivot it is linked to, or by that pivot's; equal names are connected.
     named = stored(links.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("component")), "named")
     further = named.select(F.col("class").alias("component"), F.col("component").alias("further"))
     labels = lookup(named, further, ["component"]).select("class", F.coalesce("further", "component").alias("component"))
 
     for best in ROUNDS:
-        labelled = lookup(members.select("bucket", "class"), labels, ["class"]).select(
+        labelled = lookup(members.select("bucket", "class"), labels, ["class"], at_most=at_most).select(
             "bucket", "class", F.coalesce("component", "class").alias("component")
         )
         labelled = stored(labelled, "labelled")
@@ -373,7 +377,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, with_comp
             .filter("low != high")
             .select("bucket", F.lit(True).alias("mixed"))
         )
-        open_members = lookup(lookup(labelled, mixed, ["bucket"], "inner").drop("mixed"), short, ["class"], "inner")
+        open_members = lookup(labelled, mixed, ["bucket"], "inner", at_most=at_most).drop("mixed")
+        open_members = lookup(open_members, short, ["class"], "inner", at_most=at_most)
         open_members = stored(open_members, "open")
         likely_lists = stored(_across(open_members, percent, best), "likely")
         more = stored(_confirmed_lists(likely_lists, sets, percent), "more")

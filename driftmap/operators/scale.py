@@ -147,7 +147,8 @@ def running_total(
 
     ``order`` must not tie inside a group. Rows are range-partitioned, summed per slice, and the slice totals (one row
     per slice and group boundary) are carried forward. ``keep`` may choose among the slices, given with the sum
-    ``_carried`` before each and its own ``_total``; the rows of the others are dropped before they are sorted.
+    ``_carried`` before each and its own ``_total``; the rows of the others are dropped before they are sorted. Columns
+    that it adds to a slice are added to the slice's rows.
     """
     groups, order = list(groups), list(order)
     spread = _sliced(df, groups + order)

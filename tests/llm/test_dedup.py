@@ -258,3 +258,18 @@ def test_crowded_owners_are_counted(spark, docs, rows, length, monkeypatch):
     got = Counter(map(tuple, remove_repeats(table, length).collect()))
     assert got == brute_repeats([*rows, *more], length)
     assert largest[-1] <= 2
+
+
+def test_near_duplicates_counts_written_tables_only(spark, docs, monkeypatch):
+    kind, shuffles = type(docs), []
+    count = kind.count
+
+    def counted(self):
+        shuffles.append(self._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return count(self)
+
+    monkeypatch.setattr(kind, "count", counted)
+    rows = near_duplicates(docs, 4, 80)
+    assert shuffles and max(shuffles) == 0
+    monkeypatch.undo()
+    assert rows.count() == docs.count()

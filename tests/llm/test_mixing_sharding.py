@@ -162,3 +162,13 @@ def test_mix_uses_tasks_by_size(docs):
     assert many.rdd.getNumPartitions() > 20
     placed = lambda df: Counter(map(tuple, df.select("shard", "copy", "doc.doc_id").collect()))
     assert placed(few) == placed(many)
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_plans_do_not_grow_with_the_tree(spark, docs):
+    table = spark.createDataFrame([("a", 40), ("b", 25)], "label string, blocks bigint")
+    assert exchanges(split_tree(table, 64, "seed")) == exchanges(split_tree(table, 2, "seed"))
+    assert exchanges(plan_mix(docs, shards=64)) == exchanges(plan_mix(docs, shards=2)) <= 6
